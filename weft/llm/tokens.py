@@ -1,12 +1,13 @@
 """Token ids by the tokenizers library, with the ids of equal cuts remembered.
 
 Both supported families split a text into pre-tokens before any merge, and
-no pre-token crosses certain places: in byte-level models the front of an
-optional space before non-space characters, in models that drop white space
-any white space at all. Texts are cut there, every distinct cut is encoded
-by the library, and the ids of a text are those of its cuts in order. Other
-tokenizers, and texts with white space on which Python and the library
-differ, are encoded whole.
+no pre-token crosses certain places: in models that drop white space any
+white space at all, in byte-level models the front of a space that does not
+follow other white space. Texts are cut there, every distinct cut is
+encoded by the library, and the ids of a text are those of its cuts in
+order. Texts with other runs of white space are cut by the byte-level
+pattern's own white-space rules, more slowly; other tokenizers, and texts
+with white space on which Python and the library differ, are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,19 +17,20 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import batched
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Cuts remembered by a worker before it starts anew, at about 220 bytes each.
-CUTS_KEPT = 1_500_000
+CUTS_KEPT = 2_000_000
 #: Characters of texts encoded at once.
 GROUP = 2_000_000
 
 #: White space to Python only.
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search
-_BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+_RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 
 
 class Ids:
@@ -40,37 +42,69 @@ class Ids:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        self.cut = None
+        self.kind = ""
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-            self.cut = _BYTE_LEVEL
+            self.kind = "bytes"
         elif pre.get("type") == "Sequence" and norm is not None:
-            steps = pre["pretokenizers"]
             names = [x["type"] for x in (norm.get("normalizers") or [norm])]
-            first = steps[0]
+            first = pre["pretokenizers"][0]
             drops = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"]
             if drops and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and set(names) <= {"NFC", "Replace", "Lowercase"}:
-                self.cut = str.split
-        self.known: dict[str, bytes] = {}
+                self.kind = "white"
+        #: Of a byte-level model, the ids of a space and the cut, or None if the cut may not end there.
+        self.known: dict[str, bytes | None] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, cuts: set[str]) -> None:
+        lead = " " if self.kind == "bytes" else ""
+        for some in batched(cuts, 50_000):
+            self.known.update(zip(some, self._encode([lead + c for c in some]), strict=True))
+        if lead:
+            self.known.update([(c, None) for c in cuts if not c or c[-1].isspace()])
+
     def _group(self, texts: list[str]) -> list[bytes]:
-        cut = self.cut
-        if cut is None:
+        if not self.kind:
             return self._encode(texts)
-        parts = [None if _ODD_SPACE(t) else cut(t) for t in texts]
-        odd = [t for t, p in zip(texts, parts, strict=True) if p is None]
-        whole = iter(self._encode(odd)) if odd else iter(())
         if len(self.known) > CUTS_KEPT:
             self.known.clear()
-        new = list(set().union(*[p for p in parts if p is not None]).difference(self.known))
-        known = self.known
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            known.update(zip(some, self._encode(some), strict=True))
-        get = known.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
+        get, split = self.known.get, self.kind == "bytes"
+        out: list[bytes] = [b""] * len(texts)
+        held: list[tuple[int, list[str], list, list[int]]] = []
+        odd, new = [], set()
+        firsts: dict[int, str] = {}
+        for at, text in enumerate(texts):
+            if _ODD_SPACE(text):
+                odd.append(at)
+                continue
+            cuts = text.split(" ") if split else text.split()
+            if split:
+                firsts[at] = cuts[0]
+                del cuts[0]
+            ids = list(map(get, cuts))
+            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            new.update([cuts[i] for i in holes])
+            held.append((at, cuts, ids, holes))
+        self._learn({c for c in new if c not in self.known})
+        runs: dict[int, list[str]] = {}
+        for at, cuts, ids, holes in held:
+            for i in holes:
+                ids[i] = get(cuts[i])
+            if holes and None in ids:
+                runs[at] = _RUNS(texts[at])
+                firsts.pop(at)
+            else:
+                out[at] = b"".join(ids)
+        for (at, _), own in zip(firsts.items(), self._encode(list(firsts.values())), strict=True):
+            out[at] = own + out[at]
+        parts = list(set().union(*runs.values()))
+        own = dict(zip(parts, self._encode(parts), strict=True))
+        for at, cuts in runs.items():
+            out[at] = b"".join([own[c] for c in cuts])
+        for at, whole in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
+            out[at] = whole
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; memory is bounded by groups of texts."""

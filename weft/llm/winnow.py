@@ -35,7 +35,8 @@ K = 8
 WINDOW = 16
 BLOCK = 8192
 PRIME = (1 << 31) - 1
-BASE = 1_000_003
+#: Over 128, so that neighbouring letters never collide; small, so that hashes of K/2 characters stay below 2^62.
+BASE = 263
 #: Rows between two cuts of the id order.
 BUCKET_ROWS = 250
 
@@ -53,11 +54,15 @@ def _from(values: Column, at: int) -> Column:
 
 
 def _roller(n: int) -> Callable[[Column], Column]:
-    """From hashes of n characters to those of 2n; the last n of them are null."""
-    power = pow(BASE, n, PRIME)
+    """From hashes of n characters to those of 2n; the last n of them are null.
+
+    The prime is left out until the last step: a code point is below 2^21,
+    so a hash of four characters is below 2^21 * 263^3 * 2 < 2^47.
+    """
+    power = BASE**n
 
     def roll(values: Column) -> Column:
-        return F.zip_with(values, _from(values, n), lambda a, b: (a * F.lit(power) + b) % F.lit(PRIME))
+        return F.zip_with(values, _from(values, n), lambda a, b: a * F.lit(power) + b)
 
     return roll
 
@@ -77,7 +82,7 @@ def _block(text: Column, first: Column) -> Column:
     def of(chars: Column) -> Column:
         codes = F.transform(chars, lambda c: F.ascii(c).cast("long"))
         hashes, n = codes, 1
-        while n * 2 < K:
+        while n * 2 < K:  # K is a power of two, at most 8
             hashes, n = _let(hashes, _roller(n)), n * 2
         half = K // 2
         power = pow(BASE, half, PRIME)
@@ -85,7 +90,7 @@ def _block(text: Column, first: Column) -> Column:
             hashes,
             lambda v: F.transform(
                 F.slice(v, 1, F.size(v) - (K - 1)),
-                lambda x, i: (x * F.lit(power) + F.get(v, i + half)) % F.lit(PRIME) * F.lit(1 << 32)
+                lambda x, i: (x % F.lit(PRIME) * F.lit(power) + F.get(v, i + half)) % F.lit(PRIME) * F.lit(1 << 32)
                 + (F.lit(_LAST) - first - i),
             ),
         )

@@ -116,7 +116,7 @@ def pieces(
         encoder, task = tokens.ids(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).fill_null("")
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for at, ids in enumerate(encoder.encode(texts)):
                 ids += end

@@ -7,7 +7,7 @@ follow other white space. Texts are cut there, every distinct cut is
 encoded by the library, and the ids of a text are those of its cuts in
 order. Texts with other runs of white space are cut by the byte-level
 pattern's own white-space rules, more slowly; other tokenizers, and texts
-with white space on which Python and the library differ, are encoded whole.
+with white space on which Arrow and the library differ, are encoded whole.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ from array import array
 from functools import lru_cache
 from itertools import batched
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Cuts remembered by a worker before it starts anew, at about 220 bytes each.
 CUTS_KEPT = 2_000_000
-#: Characters of texts encoded at once.
-GROUP = 2_000_000
 
-#: White space to Python only.
-_ODD_SPACE = re.compile("[\x1c-\x1f]").search
 _RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 
 
@@ -51,74 +51,69 @@ class Ids:
             drops = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"]
             if drops and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and set(names) <= {"NFC", "Replace", "Lowercase"}:
                 self.kind = "white"
-        #: Of a byte-level model, the ids of a space and the cut, or None if the cut may not end there.
-        self.known: dict[str, bytes | None] = {}
+        #: Of a byte-level model, the ids of a space and the cut.
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cuts: set[str]) -> None:
-        lead = " " if self.kind == "bytes" else ""
-        for some in batched(cuts, 50_000):
-            self.known.update(zip(some, self._encode([lead + c for c in some]), strict=True))
-        if lead:
-            self.known.update([(c, None) for c in cuts if not c or c[-1].isspace()])
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        if not self.kind:
-            return self._encode(texts)
-        if len(self.known) > CUTS_KEPT:
-            self.known.clear()
-        get, split = self.known.get, self.kind == "bytes"
-        out: list[bytes] = [b""] * len(texts)
-        held: list[tuple[int, list[str], list, list[int]]] = []
-        odd, new = [], set()
-        firsts: dict[int, str] = {}
-        for at, text in enumerate(texts):
-            if _ODD_SPACE(text):
-                odd.append(at)
-                continue
-            cuts = text.split(" ") if split else text.split()
-            if split:
-                firsts[at] = cuts[0]
-                del cuts[0]
-            ids = list(map(get, cuts))
-            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            new.update([cuts[i] for i in holes])
-            held.append((at, cuts, ids, holes))
-        self._learn({c for c in new if c not in self.known})
-        runs: dict[int, list[str]] = {}
-        for at, cuts, ids, holes in held:
-            for i in holes:
-                ids[i] = get(cuts[i])
-            if holes and None in ids:
-                runs[at] = _RUNS(texts[at])
-                firsts.pop(at)
-            else:
-                out[at] = b"".join(ids)
-        for (at, _), own in zip(firsts.items(), self._encode(list(firsts.values())), strict=True):
-            out[at] = own + out[at]
-        parts = list(set().union(*runs.values()))
-        own = dict(zip(parts, self._encode(parts), strict=True))
-        for at, cuts in runs.items():
-            out[at] = b"".join([own[c] for c in cuts])
-        for at, whole in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
-            out[at] = whole
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; memory is bounded by groups of texts."""
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for t in texts:
-            group.append(t)
-            size += len(t)
-            if size > GROUP:
-                out += self._group(group)
-                group, size = [], 0
-        if group:
-            out += self._group(group)
+    def _ids_of(self, cuts: list[str]) -> list[bytes | None]:
+        """The ids of distinct cuts, of a byte-level model with a space before each; None where none may end."""
+        known, lead = self.known, " " if self.kind == "bytes" else ""
+        if len(known) > CUTS_KEPT:
+            known.clear()
+        found = list(map(known.get, cuts))
+        holes = [i for i, x in enumerate(found) if x is None]
+        for some in batched(holes, 50_000):
+            ids = self._encode([lead + cuts[i] for i in some])
+            for i, x in zip(some, ids, strict=True):
+                c = cuts[i]
+                if lead and (not c or c[-1].isspace()):
+                    continue
+                found[i] = known[c] = x
+        return found
+
+    def _runs(self, texts: list[str]) -> list[bytes]:
+        """Texts of a byte-level model with runs of white space."""
+        cuts = [_RUNS(t) for t in texts]
+        parts = list(set().union(*cuts))
+        ids = dict(zip(parts, self._encode(parts), strict=True))
+        return [b"".join([ids[c] for c in own]) for own in cuts]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text (none is null)."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        n = len(texts)
+        if not self.kind or not n:
+            return self._encode(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts, " ") if self.kind == "bytes" else pc.utf8_split_whitespace(texts)
+        bounds = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        which = words.indices.to_numpy()
+        cuts = words.dictionary.to_pylist()
+        ids = self._ids_of(cuts)
+        if self.kind == "bytes":
+            ended = np.array([x is None for x in ids], bool)
+            slow = np.add.reduceat(ended[which], bounds[:-1]) > 0
+            begin = bounds[:-1] + 1  # the first cut has no space before it
+            firsts = self._encode([cuts[i] for i in which[bounds[:-1]]])
+        else:
+            slow, begin, firsts = np.zeros(n, bool), bounds[:-1], None
+        flat = pa.array([x or b"" for x in ids], pa.large_binary()).take(words.indices)
+        places = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)
+        data = memoryview(flat.buffers()[2] or b"")
+        lows, highs = places[begin].tolist(), places[bounds[1:]].tolist()
+        out = [bytes(data[a:b]) for a, b in zip(lows, highs, strict=True)]
+        if firsts is not None:
+            out = [a + b for a, b in zip(firsts, out, strict=True)]
+        runs = np.flatnonzero(slow & ~odd)
+        for i, x in zip(runs, self._runs(texts.take(pa.array(runs)).to_pylist()), strict=True):
+            out[i] = x
+        whole = np.flatnonzero(odd)
+        for i, x in zip(whole, self._encode(texts.take(pa.array(whole)).to_pylist()), strict=True):
+            out[i] = x
         return out
 
 

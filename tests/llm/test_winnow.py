@@ -9,21 +9,24 @@ from weft.llm import winnow
 K, W, P, B = winnow.K, winnow.WINDOW, winnow.PRIME, winnow.BASE
 
 
+CODES = {}
+
+
+def learn(spark, some):
+    """Spark's 32-bit hash of every character pair, for the definition below."""
+    pairs = sorted({(a, b) for t in some if t for a, b in zip(t, t[1:])} - CODES.keys())
+    rows = spark.createDataFrame(pairs or [("", "")], "a string, b string").select("a", "b", F.hash("a", "b").alias("h"))
+    CODES.update({(r.a, r.b): r.h for r in rows.collect()})
+
+
 def brute(text):
     """Winnowing as the definition says: [(hash, position)], by position."""
     if not text:
         return []
     if len(text) < K:
         return [(xxhash.xxh64_intdigest(text.encode(), 42) & P, 0)]
-    h = 0
-    grams = []
-    top = pow(B, K - 1, P)
-    for i, c in enumerate(text):
-        if i >= K:
-            h = (h - ord(text[i - K]) * top) % P
-        h = (h * B + ord(c)) % P
-        if i >= K - 1:
-            grams.append(h)
+    code = [CODES[pair] for pair in zip(text, text[1:])]
+    grams = [sum(code[i + j] * B ** ((K - 2 - j) // 2) for j in range(0, K, 2)) % P for i in range(len(text) - K + 1)]
     chosen = set()
     for s in range(max(1, len(grams) - W + 1)):
         window = range(s, min(len(grams), s + W))
@@ -41,6 +44,7 @@ def texts():
 
 def test_fingerprints_equal_the_definition(spark):
     df = spark.createDataFrame(list(enumerate(texts())), "doc_id int, text string")
+    learn(spark, texts())
     for r in winnow.fingerprints(df).collect():
         assert [(x.hash, x.position) for x in r.fingerprint] == brute(texts()[r.doc_id])
 
@@ -52,6 +56,12 @@ def test_edited_and_next(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).repartition(3)
     got = {r.doc_id: r for r in winnow.edited_next(df).collect()}
     order = sorted(rows)
+
+    def edit(t, nxt):
+        q = len(t) // 4
+        return t[: len(t) - q] + nxt[:q]
+
+    learn(spark, [t for _, t in order] + [edit(t or "", n or "") for (_, t), (_, n) in zip(order, order[1:] + order[:1])])
     assert len(got) == len(rows)
 
     def near(a, b):
@@ -60,14 +70,13 @@ def test_edited_and_next(spark, monkeypatch):
 
     for (d, t), (_, nxt) in zip(order, order[1:] + order[:1]):
         t, nxt = t or "", nxt or ""
-        q = len(t) // 4
-        edited = t[: len(t) - q] + nxt[:q]
+        edited = edit(t, nxt)
         r = got[d]
         assert r.n_chars == len(t)
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        pack = [h * 2**32 + 2**32 - 1 - p for h, p in brute(t)]
+        pack = [h * 2**32 - p for h, p in brute(t)]
         assert list(r.choices) == pack
-        assert list(r.edited_choices) == [h * 2**32 + 2**32 - 1 - p for h, p in brute(edited)]
+        assert list(r.edited_choices) == [h * 2**32 - p for h, p in brute(edited)]
         assert abs(r.near_edited - near(brute(t), brute(edited))) < 1e-12
         assert abs(r.near_next - near(brute(t), brute(nxt))) < 1e-12
 

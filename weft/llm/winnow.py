@@ -1,16 +1,17 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every run of ``K`` characters has a rolling (Karp-Rabin) hash modulo a prime;
-of each ``WINDOW`` neighbouring hashes the smallest is chosen, the rightmost
-of equals. So two texts that share ``K + WINDOW - 1`` characters share a
-chosen hash, and every choice keeps its position.
+Every run of ``K`` characters has a rolling (Karp-Rabin) hash over the codes
+of its character pairs, modulo a prime; of each ``WINDOW`` neighbouring
+hashes the smallest is chosen, the rightmost of equals. So two texts that
+share ``K + WINDOW - 1`` characters share a chosen hash, and every choice
+keeps its position.
 
 The hash of 2n characters is the hash of the first n times a power plus the
-hash of the next n, modulo the prime: the rolling hash of all positions is
-built by doubling, and the window minimum likewise. A hash and its position
-travel in one integer (hash * 2^32 + (2^32 - 1 - position)) whose minimum
-is the smallest hash, rightmost first. Texts are worked off in blocks of
-``BLOCK`` windows, so the working memory does not grow with a text.
+hash of the next n: the rolling hash of all positions is built by doubling,
+and the window minimum likewise. A hash and its position travel in one
+integer, hash * 2^32 - position, whose minimum is the smallest hash,
+rightmost first. Texts are worked off in blocks of ``BLOCK`` windows, so the
+working memory does not grow with a text.
 
 Edge cases: a text shorter than ``K`` has one hash of itself at position 0,
 shorter than a full window the smallest of what it has; null counts as
@@ -35,12 +36,12 @@ K = 8
 WINDOW = 16
 BLOCK = 8192
 PRIME = (1 << 31) - 1
-#: Over 128, so that neighbouring letters never collide; small, so that hashes of K/2 characters stay below 2^62.
-BASE = 263
+#: A pair's code is below 2^31 in size, so hashes of K characters stay below 2^62 until the prime is taken.
+BASE = 1021
 #: Rows between two cuts of the id order.
 BUCKET_ROWS = 250
 
-_LAST = (1 << 32) - 1
+_HIGH = 1 << 32
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,12 +55,8 @@ def _from(values: Column, at: int) -> Column:
 
 
 def _roller(n: int) -> Callable[[Column], Column]:
-    """From hashes of n characters to those of 2n; the last n of them are null.
-
-    The prime is left out until the last step: a code point is below 2^21,
-    so a hash of four characters is below 2^21 * 263^3 * 2 < 2^47.
-    """
-    power = BASE**n
+    """From hashes of n characters to those of 2n; the last n of them are null."""
+    power = BASE ** (n // 2)
 
     def roll(values: Column) -> Column:
         return F.zip_with(values, _from(values, n), lambda a, b: a * F.lit(power) + b)
@@ -80,18 +77,16 @@ def _block(text: Column, first: Column) -> Column:
     """Chosen (packed) hashes of the windows of one block, by position; ``first``: its place in the text."""
 
     def of(chars: Column) -> Column:
-        codes = F.transform(chars, lambda c: F.ascii(c).cast("long"))
-        hashes, n = codes, 1
-        while n * 2 < K:  # K is a power of two, at most 8
+        hashes, n = F.zip_with(chars, _from(chars, 1), lambda a, b: F.hash(a, b).cast("long")), 2
+        while n * 2 < K:  # K is a power of two: 4 or 8
             hashes, n = _let(hashes, _roller(n)), n * 2
         half = K // 2
-        power = pow(BASE, half, PRIME)
+        power = BASE ** (half // 2)
         packed = _let(
             hashes,
             lambda v: F.transform(
                 F.slice(v, 1, F.size(v) - (K - 1)),
-                lambda x, i: (x % F.lit(PRIME) * F.lit(power) + F.get(v, i + half)) % F.lit(PRIME) * F.lit(1 << 32)
-                + (F.lit(_LAST) - first - i),
+                lambda x, i: F.pmod(x * F.lit(power) + F.get(v, i + half), F.lit(PRIME)) * F.lit(_HIGH) - (first + i),
             ),
         )
         least, n = packed, 1
@@ -121,17 +116,19 @@ def _none() -> Column:
 def packed(text: Column) -> Column:
     """The fingerprint of a text as packed integers, by position."""
     n = F.char_length(text)
-    whole = F.xxhash64(text).bitwiseAND(F.lit(PRIME)) * F.lit(1 << 32) + F.lit(_LAST)
+    whole = F.xxhash64(text).bitwiseAND(F.lit(PRIME)) * F.lit(_HIGH)
     return F.when(n >= K, _long(text, n, F.lit(0))).when(n > 0, F.array(whole)).otherwise(_none())
 
 
+def _hash(choice: Column) -> Column:
+    return F.shiftright(choice + F.lit(_HIGH - 1), 32)
+
+
 def unpacked(choices: Column) -> Column:
     """array<struct<hash bigint, position bigint>> of packed integers."""
     return F.transform(
         choices,
-        lambda x: F.struct(
-            F.shiftright(x, 32).alias("hash"), (F.lit(_LAST) - x.bitwiseAND(F.lit(_LAST))).alias("position")
-        ),
+        lambda x: F.struct(_hash(x).alias("hash"), (_hash(x) * F.lit(_HIGH) - x).alias("position")),
     )
 
 
@@ -144,7 +141,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of the hashes of two packed fingerprints."""
     def hashes(x: Column) -> Column:
-        return F.array_distinct(F.transform(x, lambda v: F.shiftright(v, 32)))
+        return F.array_distinct(F.transform(x, lambda v: _hash(v)))
 
     def ratio(x: Column, y: Column) -> Column:
         return _let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(x) + F.size(y) - n))

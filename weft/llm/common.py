@@ -119,21 +119,21 @@ def _search(key: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.when(key.isNotNull(), found), F.lit(0))
 
 
-def running_start(df: DataFrame, bucket: Column, order: list, size: str, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``size`` over all rows before this one in (bucket, order).
+def running_start(df: DataFrame, bucket: Column, order: list, size: str, out: str, part: str) -> DataFrame:
+    """Add ``part`` (the bucket) and ``out``: the sum of ``size`` over all rows before this one in (bucket, order).
 
     Two levels: bucket totals are summed over the bounded number of buckets,
     rows inside each bucket by a window, so no task sees all rows.
     """
-    df = df.withColumn("__b", bucket)
-    totals = df.groupBy("__b").agg(F.sum(size).alias("__t"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(part, bucket.cast("int"))
+    totals = df.groupBy(part).agg(F.sum(size).alias("__t"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(part, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.join(F.broadcast(offsets), "__b")  # at most as many rows as buckets
+        df.join(F.broadcast(offsets), part)  # at most as many rows as buckets
         .withColumn(out, (F.col("__o") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long"))
-        .drop("__b", "__o")
+        .drop("__o")
     )
 
 

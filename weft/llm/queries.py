@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import packing, pieces, quality, simhash, toxicity, urls, winnow
+from weft.llm import packing, pieces, quality, simhash, store, toxicity, urls, winnow
+from weft.llm.common import Workspace
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "store")
+    folder = store.write(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, work)
+    return store.summary(spark, folder)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op5_urls": op5_urls,
+    "op6_store": op6_store,
     "op7_toxicity": op7_toxicity,
     "op8_winnow": op8_winnow,
     "op9_pieces": op9_pieces,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import nearest, packing, pieces, quality, simhash, store, toxicity, urls, winnow
+from weft.llm import lm, nearest, packing, pieces, quality, simhash, store, toxicity, urls, winnow
 from weft.llm.common import Workspace
 
 
@@ -29,6 +29,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_nearest": op3_nearest,
+    "op4_lm": op4_lm,
     "op5_urls": op5_urls,
     "op6_store": op6_store,
     "op7_toxicity": op7_toxicity,

@@ -49,9 +49,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

@@ -115,7 +115,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = tokens.ids(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for batch in batches:
+        for batch in tokens.grouped(batches):
             texts = batch.column(1).fill_null("")
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for at, ids in enumerate(encoder.encode(texts)):

@@ -45,7 +45,7 @@ from weft.llm.common import Workspace, bounded_batches, ordered_buckets, running
 
 SPAN = 8
 #: A place is a cut with probability 2^-CUT_BITS; chunks have at least LEAST and at most MOST ids.
-CUT_BITS, LEAST, MOST = 8, 32, 4096
+CUT_BITS, LEAST, MOST = 9, 64, 8192
 FAN = 1024
 #: Recipes between two cuts of the id order.
 PART_ROWS = 250
@@ -95,7 +95,7 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         end, width, seen = end_id.to_bytes(4, "little"), int(kind[-1]), set()
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in tokens.grouped(batches):
             streams = encoder.encode(batch.column(1).fill_null(""))
             sizes = [(len(s) >> 2) + 1 for s in streams]
             joined = np.frombuffer(end.join([*streams, b""]), "<u4")
@@ -144,11 +144,12 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
 
 def write(docs: DataFrame, path: str, end_id: int, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the store of ``docs`` in the workspace; returns its folder."""
-    rows = work.save(chunked(docs, path, end_id, id_col, text_col), "rows")
+    rows = work.save(chunked(docs, path, end_id, id_col, text_col), "rows", "lz4")
     chunks = (
         rows.select(F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("data").alias("ids"))).alias("c"))
         .where("c.ids is not null")
         .select("c.digest", "c.ids")
+        .repartition("digest")  # tasks have no duplicates of their own: combining first would only sort twice
         .groupBy("digest")
         .agg(F.first("ids").alias("ids"))
     )
@@ -223,11 +224,18 @@ def _checked(spark: SparkSession, folder: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc = []
-            for digest, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if hashlib.sha256(ids).digest() != digest:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+            data = memoryview(flat.buffers()[2])[ends[0] : ends[-1]]
+            wide = memoryview(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes())
+            ends, more, crc, at = (ends - ends[0]).tolist(), 4 // width, [], 0
+            for digest, end in zip(batch.column(0).to_pylist(), ends[1:], strict=True):
+                if hashlib.sha256(data[at:end]).digest() != digest:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
-                crc.append(zlib.crc32(ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4")))
+                crc.append(zlib.crc32(wide[at * more : end * more]))
+                at = end
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64())], names=["digest", "crc"])
 
     chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "ids")

@@ -16,6 +16,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import batched
 
@@ -30,6 +31,9 @@ from tokenizers import Tokenizer  # noqa: E402
 #: Cuts remembered by a worker before it starts anew, at about 220 bytes each.
 CUTS_KEPT = 2_000_000
 
+#: Bytes of texts whose cuts are looked up together.
+GROUP_BYTES = 12_000_000
+
 _RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 
 
@@ -117,6 +121,18 @@ class Ids:
         return out
 
 
+def grouped(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together until they hold ``size`` bytes: fewer distinct cuts a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 @lru_cache(maxsize=2)
 def ids(path: str) -> Ids:
     return Ids(path)

@@ -1,10 +1,861 @@
-"""Registered queries over the driver tables and their DuckDB equivalents."""
+"""Registered queries over the driver tables and their DuckDB equivalents.
+
+Every query runs over its whole tables. Doubles are rounded to six digits on
+both sides, orders are total, and lists are sorted, so results compare.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.functions import similarity as S
+from weft.functions import text as X
+from weft.operators import blocking, compare, context, decide, dense, em, enrich, graph, metrics, mining, models, parse, validate
+from weft.plans import link
+from weft.sources import records as R
+from weft.sources import sinks
+from weft.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c: Column | str, name: str) -> Column:
+    return F.round(c, 6).alias(name)
+
+
+# Views shared by queries and their SQL.
+
+_EDGES = "edges AS (SELECT l_suppkey AS i1, l_orderkey AS i23, round(max(l_extendedprice) / 105000, 6) AS p FROM lineitem GROUP BY 1, 2)"
+_WORDS = "list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+_DOCS = f"docs AS (SELECT doc_id, lang AS cty, {_WORDS.format('text')} AS words FROM documents)"
+_PARTS = "parts AS (SELECT p_partkey AS id, p_brand AS cty, p_name AS name, string_split(p_name, ' ') AS words FROM part)"
+_NAMES = "names AS (SELECT DISTINCT p_name AS name FROM part)"
+_TRUTH = "truth AS (SELECT DISTINCT l_suppkey AS i1, l_orderkey AS i23 FROM lineitem WHERE l_returnflag = 'R')"
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY i1 ORDER BY p DESC, i23) AS r FROM edges)"
+_EXCLUSIVE = """claims AS (SELECT i1, i23, p, row_number() OVER (PARTITION BY i23 ORDER BY p DESC, i1) AS rr,
+                   lead(p) OVER (PARTITION BY i23 ORDER BY p DESC, i1) AS p2 FROM edges),
+own AS (SELECT i1, i23, CASE WHEN p2 IS NOT NULL AND p - p2 < 0.1 THEN p * 0.9 ELSE p END AS p FROM claims WHERE rr = 1)"""
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return R.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("cty"), X.ascii_words(text).alias("words"))
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return R.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("cty"), F.col("p_name").alias("name"), F.split("p_name", " ").alias("words")
+    )
+
+
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    return R.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
+
+
+def _name_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Different names that share a word."""
+    words = _names(spark, sf).select("name", F.explode(F.split("name", " ")).alias("w"))
+    other = words.select(F.col("name").alias("b"), "w")
+    return words.withColumnRenamed("name", "a").join(other, "w").where("a < b").select("a", "b").distinct()
+
+
+_NAME_PAIRS = f"""{_NAMES}, ws AS (SELECT name, unnest(string_split(name, ' ')) AS w FROM names),
+pairs AS (SELECT DISTINCT x.name AS a, y.name AS b FROM ws x JOIN ws y ON x.w = y.w AND x.name < y.name)"""
+
+
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    lines = R.table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    return lines.select(F.col("l_suppkey").alias("i1"), F.col("l_orderkey").alias("i23")).distinct()
+
+
+def _entities(spark: SparkSession, sf: str) -> DataFrame:
+    return R.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i1"))
+
+
+# Sources, sinks, checks.
+
+
+@_query("""SELECT conv_id AS s1_id, CAST(turn AS VARCHAR) AS s23_id FROM (SELECT DISTINCT conv_id, turn FROM conversations)""")
+def gt_explode(spark, sf):
+    turns = R.table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_set(F.col("turn").cast("string")).alias("t"))
+    return R.id_pairs(turns.select("conv_id", F.array_join(F.array_sort("t"), ",").alias("ids")), "conv_id", "ids")
+
+
+@_query(f"""WITH {_EDGES}, {_EXCLUSIVE}
+SELECT s_suppkey AS i1, coalesce(string_agg(CAST(i23 AS VARCHAR), ',' ORDER BY i23), '') AS matched
+FROM supplier LEFT JOIN (SELECT * FROM own WHERE p >= 0.9) o ON s_suppkey = o.i1 GROUP BY 1""")
+def id_list_export(spark, sf):
+    own = decide.exclusive(R.scored_edges(spark, sf), 0.1, 0.9).where("p >= 0.9")
+    return sinks.id_lists(own, _entities(spark, sf), "i1", "i1", "i23", "matched")
+
+
+@_query("""SELECT count(*) AS n_rows, count(DISTINCT c_name) AS n_ids, count(*) FILTER (NOT starts_with(c_name, 'Customer')) AS n_wrong_prefix,
+count(*) FILTER (c_mktsegment IS NULL OR c_mktsegment = '') AS empty_c_mktsegment, count(*) FILTER (c_nationkey IS NULL) AS empty_c_nationkey FROM customer""")
+def integrity_report(spark, sf):
+    return validate.integrity(R.table(spark, sf, "customer"), "c_name", "Customer", ["c_mktsegment", "c_nationkey"])
+
+
+@_query("""SELECT count(*) AS n_lost, count(DISTINCT o_custkey) AS n_lost_ids FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+def lost_references(spark, sf):
+    return validate.references(R.table(spark, sf, "orders"), R.table(spark, sf, "customer"), "o_custkey", "c_custkey")
+
+
+@_query("""WITH o AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
+SELECT count(*) AS n_records, count(*) FILTER (n = 1) AS n_single, count(*) FILTER (n > 1) AS n_shared, max(n) AS most_entities FROM o""")
+def many_to_one_report(spark, sf):
+    return validate.many_to_one(R.table(spark, sf, "lineitem"), "l_suppkey", "l_orderkey")
+
+
+_PROFILE = {"digits": "[0-9]", "upper_word": "[A-Z][A-Z][A-Z]", "url": "www|http", "pipe": "[|]", "percent": "%"}
+
+
+@_query(
+    "SELECT lang AS cty, count(*) AS n, "
+    + ", ".join(f"round(avg(CAST(regexp_matches(coalesce(text, ''), '{p}') AS DOUBLE)), 6) AS {n}" for n, p in _PROFILE.items())
+    + " FROM documents GROUP BY 1"
+)
+def noise_profile(spark, sf):
+    rows = R.table(spark, sf, "documents").select(F.col("lang").alias("cty"), F.coalesce("text", F.lit("")).alias("text"))
+    found = validate.profile(rows, "cty", {n: F.col("text").rlike(p) for n, p in _PROFILE.items()})
+    return found.select("cty", "n", *[_r(n, n) for n in _PROFILE])
+
+
+_LISTS = """lists AS (SELECT 'S1-' || l_suppkey AS k, string_agg(CASE WHEN l_linenumber = 7 THEN 'S1-' WHEN l_linenumber = 6 THEN 'X-' ELSE 'S2-' END || l_orderkey, ',') AS ids
+FROM lineitem GROUP BY l_suppkey), e AS (SELECT k, unnest(string_split(ids, ',')) AS id FROM lists), d AS (SELECT DISTINCT id FROM e),
+known AS (SELECT DISTINCT 'S2-' || o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F'), required AS (SELECT 'S1-' || s_suppkey AS id FROM supplier)"""
+
+
+@_query(f"""WITH {_LISTS}
+SELECT 'duplicate_rows' AS rule, count(*) AS n_offenders FROM (SELECT k FROM lists GROUP BY k HAVING count(*) > 1)
+UNION ALL SELECT 'repeated_ids', count(*) FROM (SELECT k FROM e GROUP BY k HAVING count(*) > count(DISTINCT id))
+UNION ALL SELECT 'self_matches', count(*) FROM d WHERE starts_with(id, 'S1-')
+UNION ALL SELECT 'wrong_prefix', count(*) FROM d WHERE NOT starts_with(id, 'S1-') AND NOT starts_with(id, 'S2-') AND NOT starts_with(id, 'S3-')
+UNION ALL SELECT 'unknown_ids', count(*) FROM d WHERE starts_with(id, 'S2-') AND id NOT IN (SELECT id FROM known)
+UNION ALL SELECT 'missing_rows', count(*) FROM required WHERE id NOT IN (SELECT k FROM lists)
+UNION ALL SELECT 'extra_rows', count(*) FROM lists WHERE k NOT IN (SELECT id FROM required)""")
+def result_validator(spark, sf):
+    lines = R.table(spark, sf, "lineitem")
+    prefix = F.when(F.col("l_linenumber") == 7, "S1-").when(F.col("l_linenumber") == 6, "X-").otherwise("S2-")
+    ids = F.concat(prefix, F.col("l_orderkey").cast("string"))
+    lists = lines.groupBy(F.concat(F.lit("S1-"), F.col("l_suppkey").cast("string")).alias("k")).agg(F.array_join(F.collect_list(ids), ",").alias("ids"))
+    required = R.table(spark, sf, "supplier").select(F.concat(F.lit("S1-"), F.col("s_suppkey").cast("string")).alias("id"))
+    orders = R.table(spark, sf, "orders").where("o_orderstatus <> 'F'")
+    known = orders.select(F.concat(F.lit("S2-"), F.col("o_orderkey").cast("string")).alias("id"))
+    return validate.results(lists, "k", "ids", required, known, "S1-", ["S2-", "S3-"])
+
+
+# Text.
+
+_COLLAPSED = "array_to_string(list_filter(string_split({0}, ''), lambda c, i: i = 1 OR c <> string_split({0}, '')[i - 1]), '')"
+_SKELETON = "substr({0}, 1, 1) || " + _COLLAPSED.format("regexp_replace(substr({0}, 2), '[aeiou]', '', 'g')")
+
+
+def _sounds(sql: str) -> str:
+    for a, b in X.SOUNDS:
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return sql
+
+
+@_query(f"""WITH {_NAMES}, j AS (SELECT name, replace(name, ' ', '') AS s FROM names),
+t AS (SELECT name, s, {_sounds('s')} AS t FROM j), u AS (SELECT name, s, {_COLLAPSED.format('t')} AS t FROM t)
+SELECT name, {_SKELETON.format('s')} AS k_skel, {_SKELETON.format('t')} AS k_trans FROM u""")
+def name_keys(spark, sf):
+    joined = F.replace(F.col("name"), F.lit(" "), F.lit(""))
+    return _names(spark, sf).select("name", X.skeleton_col(joined).alias("k_skel"), X.sound_key_col(joined).alias("k_trans"))
+
+
+@_query(f"""WITH {_PARTS} SELECT cty, name, count(*) AS n, array_to_string(list_sort(any_value(words)), ' ') AS k_sorted,
+array_to_string(list_transform(any_value(words), lambda w: substr(w, 1, 1)), '') AS acr FROM parts GROUP BY cty, name""")
+def sorted_keys(spark, sf):
+    rows = _parts(spark, sf).groupBy("cty", "name").agg(F.count("*").alias("n"))
+    words = F.split("name", " ")
+    return rows.select("cty", "name", "n", F.array_join(F.array_sort(words), " ").alias("k_sorted"), X.initials(words).alias("acr"))
+
+
+_FORMS = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in X.WORD_FORMS.items()) + "}"
+
+
+@_query(f"""WITH {_DOCS}, f AS (SELECT cty, unnest(list_transform(words, lambda w: coalesce({_FORMS}[w], w))) AS form FROM docs)
+SELECT cty, form, count(*) AS n FROM f GROUP BY 1, 2""")
+def contract_tokens(spark, sf):
+    return _docs(spark, sf).select("cty", F.explode(X.with_forms(F.col("words"))).alias("form")).groupBy("cty", "form").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_DOCS}, n AS (SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(words, lambda t: regexp_full_match(t, '[0-9]+')),
+lambda t: CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END))) AS l FROM docs)
+SELECT doc_id, array_to_string(l, ' ') AS numset, len(l) AS n_numbers FROM n""")
+def number_tokens(spark, sf):
+    numbers = X.plain_numbers(F.col("words"))
+    return _docs(spark, sf).select("doc_id", F.array_join(numbers, " ").alias("numset"), F.size(numbers).cast("long").alias("n_numbers"))
+
+
+@_query(r"""SELECT page_id, replace(regexp_extract(lower(coalesce(url, '')), '([a-z0-9][a-z0-9-]{2,})\.(com|net|org|in|co|biz|info|us|fr)([^a-z0-9_]|$)', 1), '-', '') AS url_name FROM pages""")
+def url_names(spark, sf):
+    return R.table(spark, sf, "pages").select("page_id", X.url_name(F.coalesce("url", F.lit(""))).alias("url_name"))
+
+
+@_query(f"""WITH {_NAMES}, j AS (SELECT replace(name, ' ', '') AS s FROM names),
+g AS (SELECT s, unnest(list_distinct(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4)))) AS gram FROM j)
+SELECT gram, count(*) AS n FROM g GROUP BY 1""")
+def char_grams(spark, sf):
+    joined = F.replace(F.col("name"), F.lit(" "), F.lit(""))
+    return _names(spark, sf).select(F.explode(blocking.gram_keys(joined)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_PARTS}, l AS (SELECT cty, words[-1] AS token, count(*) AS k FROM parts WHERE len(words) >= 2 GROUP BY 1, 2),
+s AS (SELECT cty, token, count(*) AS seen FROM (SELECT cty, unnest(list_distinct(words)) AS token FROM parts) GROUP BY 1, 2),
+t AS (SELECT cty, count(*) AS n FROM parts GROUP BY 1)
+SELECT cty, token, k, seen FROM l JOIN s USING (cty, token) JOIN t USING (cty)
+WHERE k / n >= 0.008 AND k / seen >= 0.8 AND length(token) <= 4 AND regexp_full_match(token, '[a-z]+') AND token NOT IN ('com', 'net', 'org', 'www', 'biz', 'info')""")
+def legal_discovery(spark, sf):
+    return parse.discover_legal(_parts(spark, sf).select("cty", "words"))
+
+
+# Enrichment.
+
+_IDF = f"""{_DOCS}, n AS (SELECT cty, count(*) AS n FROM docs GROUP BY 1),
+df AS (SELECT cty, token, count(*) AS df FROM (SELECT cty, unnest(list_distinct(words)) AS token FROM docs) GROUP BY 1, 2)"""
+
+
+@_query(f"WITH {_IDF} SELECT cty, token, df, round(ln(n / df), 6) AS idf FROM df JOIN n USING (cty)")
+def idf_table(spark, sf):
+    return enrich.idf_table(_docs(spark, sf), "words").select("cty", "token", "df", _r("idf", "idf"))
+
+
+@_query(f"""WITH {_IDF}, w AS (SELECT doc_id, cty, unnest(words) AS token FROM docs),
+s AS (SELECT doc_id, sum(ln(n / df)) AS total, count(*) AS k FROM w JOIN df USING (cty, token) JOIN n USING (cty) GROUP BY 1)
+SELECT doc_id, len(words) AS n_words, round(coalesce(total, 0), 4) AS total_idf FROM docs LEFT JOIN s USING (doc_id)""")
+def positional_idf(spark, sf):
+    docs = _docs(spark, sf)
+    rows = enrich.with_idf(docs, "doc_id", "words", enrich.idf_table(docs, "words"), "w")
+    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.round(total, 4).alias("total_idf"))
+
+
+_SEGMENTS = "segs AS (SELECT doc_id, lang AS cty, list_filter(list_transform(string_split(lower(coalesce(text, '')), ','), lambda s: trim(regexp_replace(s, '[^a-z]+', ' ', 'g'))), lambda s: s <> '') AS segs FROM documents)"
+
+
+def _segments(spark, sf):
+    parts = F.split(F.lower(F.coalesce("text", F.lit(""))), ",")
+    plain = F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z]+", " "))), lambda s: s != "")
+    return R.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("cty"), plain.alias("segs"))
+
+
+@_query(f"""WITH {_SEGMENTS}, n AS (SELECT cty, count(*) AS n FROM segs GROUP BY 1),
+l AS (SELECT cty, segs[-1] AS segment, count(*) AS k FROM segs WHERE len(segs) > 0 GROUP BY 1, 2)
+SELECT cty, segment, k FROM l JOIN n USING (cty) WHERE k >= 0.0005 * n AND length(segment) - length(replace(segment, ' ', '')) <= 3""")
+def region_vocab(spark, sf):
+    return enrich.region_vocabulary(_segments(spark, sf), "segs")
+
+
+@_query(f"""WITH {_SEGMENTS}, n AS (SELECT cty, count(*) AS n FROM segs GROUP BY 1),
+l AS (SELECT cty, segs[-1] AS segment, count(*) AS k FROM segs WHERE len(segs) > 0 GROUP BY 1, 2),
+v AS (SELECT cty, segment FROM l JOIN n USING (cty) WHERE k >= 0.0005 * n AND length(segment) - length(replace(segment, ' ', '')) <= 3),
+e AS (SELECT doc_id, cty, unnest(segs) AS segment, generate_subscripts(segs, 1) AS pos FROM segs),
+g AS (SELECT doc_id, max_by(segment, pos) AS region FROM e JOIN v USING (cty, segment) GROUP BY 1)
+SELECT doc_id, coalesce(region, '') AS region, len(list_distinct(list_filter(segs, lambda s: s <> coalesce(region, '')))) AS n_loc FROM segs LEFT JOIN g USING (doc_id)""")
+def region_of_records(spark, sf):
+    rows = _segments(spark, sf)
+    found = enrich.with_region(rows, "doc_id", "segs", enrich.region_vocabulary(rows, "segs"))
+    return found.select("doc_id", "region", F.size("loc").cast("long").alias("n_loc"))
+
+
+@_query(f"""WITH {_PARTS}, c AS (SELECT cty, name, count(*) AS f_core FROM parts GROUP BY 1, 2), n AS (SELECT cty, count(*) AS n FROM parts GROUP BY 1)
+SELECT id, f_core, round(ln(1 + f_core * 1e5 / n), 6) AS f_core_r FROM parts JOIN c USING (cty, name) JOIN n USING (cty)""")
+def chain_rates(spark, sf):
+    rows = _parts(spark, sf)
+    return enrich.with_frequency(rows, rows, "name", "f_core").select("id", "f_core", _r("f_core_r", "f_core_r"))
+
+
+# Blocking.
+
+_KEYS = f"""{_DOCS}, keyed AS (SELECT doc_id, cty, unnest(list_distinct(list_filter(words, lambda t: length(t) >= 4))) AS key FROM docs),
+n AS (SELECT cty, count(*) AS n FROM docs GROUP BY 1), dfs AS (SELECT cty, key, count(*) AS df FROM keyed GROUP BY 1, 2),
+rare AS (SELECT cty, key, df, ln(n / df) AS idf FROM dfs JOIN n USING (cty) WHERE df <= greatest(20, ceil(0.0002 * n)))"""
+
+
+def _keyed(spark, sf):
+    docs = _docs(spark, sf)
+    words = F.filter("words", lambda t: F.length(t) >= 4)
+    return docs, blocking.keys(docs, "doc_id", {"w": words})
+
+
+@_query(f"WITH {_KEYS} SELECT cty, key, df, round(idf, 6) AS idf FROM rare")
+def postings_cap(spark, sf):
+    docs, keyed = _keyed(spark, sf)
+    posted = blocking.postings(keyed, docs.groupBy("cty").agg(F.count("*").alias("n")), 2e-4)
+    return posted.select("cty", F.expr("substring(key, 3)").alias("key"), "df", _r("idf", "idf")).distinct()
+
+
+_ITEMS = f"""items AS (SELECT item_id, {_WORDS.format('text')} AS words FROM benchmark),
+asked AS (SELECT item_id, unnest(list_distinct(list_filter(words, lambda t: length(t) >= 4))) AS key FROM items),
+dk AS (SELECT doc_id, unnest(list_distinct(list_filter(words, lambda t: length(t) >= 4))) AS key FROM docs),
+dn AS (SELECT count(*) AS n FROM docs), dd AS (SELECT key, count(*) AS df FROM dk GROUP BY 1),
+dr AS (SELECT key, ln(n / df) AS idf FROM dd, dn WHERE df <= greatest(20, ceil(0.005 * n))),
+joined AS (SELECT item_id, doc_id, round(sum(idf), 6) AS score, count(*) AS n_keys FROM asked JOIN dr USING (key) JOIN dk USING (key) GROUP BY 1, 2)"""
+
+
+def _index_join(spark, sf, k):
+    docs = _docs(spark, sf).withColumn("cty", F.lit("all"))
+    items = R.table(spark, sf, "benchmark").select("item_id", F.lit("all").alias("cty"), X.ascii_words(F.coalesce("text", F.lit(""))).alias("words"))
+    long = {"w": F.filter("words", lambda t: F.length(t) >= 4)}
+    posted = blocking.postings(blocking.keys(docs, "doc_id", long), docs.groupBy("cty").agg(F.count("*").alias("n")), 5e-3)
+    return blocking.index_join(blocking.keys(items, "item_id", long), posted, k, "item_id", "doc_id")
+
+
+@_query(f"""WITH {_DOCS}, {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM joined)
+SELECT item_id, doc_id, score, n_keys, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def index_join_topk(spark, sf):
+    return _index_join(spark, sf, 5).select("item_id", "doc_id", "score", "n_keys", "rank")
+
+
+@_query(f"""WITH {_DOCS}, {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rev_rank FROM joined)
+SELECT item_id, doc_id, score, CAST(rev_rank AS INTEGER) AS rev_rank FROM r WHERE rev_rank <= 3""")
+def reverse_topk(spark, sf):
+    every = _index_join(spark, sf, 1 << 30)
+    return blocking.top(every, ["doc_id"], [F.desc("score"), F.col("item_id")], 3, "rev_rank").select("item_id", "doc_id", "score", "rev_rank")
+
+
+_PASSES = f"""{_EDGES}, lines AS (SELECT l_suppkey AS i1, l_orderkey AS i23, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+pa AS (SELECT i1, i23, p AS score, row_number() OVER (PARTITION BY i1 ORDER BY p DESC, i23) AS rank FROM edges QUALIFY rank <= 20),
+pb AS (SELECT i1, i23, q AS score, row_number() OVER (PARTITION BY i1 ORDER BY q DESC, i23) AS rank FROM lines QUALIFY rank <= 15)"""
+
+
+def _passes(spark, sf):
+    quantity = R.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("i1"), F.col("l_orderkey").alias("i23")).agg(F.sum("l_quantity").alias("score"))
+    order = [F.desc("score"), F.col("i23")]
+    price = R.scored_edges(spark, sf).withColumnRenamed("p", "score")
+    found = {"p2": blocking.top(price, ["i1"], order, 20), "p5": blocking.top(quantity, ["i1"], order, 15)}
+    return blocking.filled(blocking.union_passes(found, ["i1", "i23"]), {"p2": 20, "p5": 15})
+
+
+@_query(f"""WITH {_PASSES} SELECT coalesce(a.i1, b.i1) AS i1, coalesce(a.i23, b.i23) AS i23, coalesce(a.score, 0) AS score_p2, coalesce(b.score, 0) AS score_p5,
+round(ln(1 + coalesce(a.rank, 21)), 6) AS lrank_p2, round(ln(1 + coalesce(b.rank, 16)), 6) AS lrank_p5,
+CAST(a.i1 IS NOT NULL AS INTEGER) AS found_p2, CAST(b.i1 IS NOT NULL AS INTEGER) AS found_p5,
+CAST(a.i1 IS NOT NULL AS BIGINT) + CAST(b.i1 IS NOT NULL AS BIGINT) AS n_passes
+FROM pa a FULL JOIN pb b ON a.i1 = b.i1 AND a.i23 = b.i23""")
+def pass_union(spark, sf):
+    return _passes(spark, sf).select(
+        "i1", "i23", "score_p2", "score_p5", _r("lrank_p2", "lrank_p2"), _r("lrank_p5", "lrank_p5"), "found_p2", "found_p5", "n_passes"
+    )
+
+
+@_query(f"""WITH {_PARTS}, g AS (SELECT cty, name AS gid, count(*) AS n FROM parts GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 6)
+SELECT p.cty, id, name AS gid FROM parts p JOIN g ON p.cty = g.cty AND p.name = g.gid""")
+def duplicate_groups(spark, sf):
+    return blocking.duplicate_groups(_parts(spark, sf), "id", F.col("name")).select("cty", "id", "gid")
+
+
+@_query(f"""WITH {_PASSES}, grp AS (SELECT o_orderkey AS i23, o_custkey AS gid FROM orders JOIN
+(SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6) USING (o_custkey)),
+new AS (SELECT pa.i1, m.i23, min(pa.rank) AS rank FROM pa JOIN grp g ON g.i23 = pa.i23 JOIN grp m ON m.gid = g.gid AND m.i23 <> pa.i23 WHERE pa.rank <= 3
+GROUP BY 1, 2), r AS (SELECT n.i1, n.i23, n.rank, row_number() OVER (PARTITION BY n.i1 ORDER BY n.rank, n.i23) AS place FROM new n
+ANTI JOIN pa ON pa.i1 = n.i1 AND pa.i23 = n.i23)
+SELECT i1, i23, CAST(rank AS INTEGER) AS best_rank FROM r WHERE place <= 5""")
+def duplicate_mates(spark, sf):
+    price = R.scored_edges(spark, sf).withColumn("cty", F.lit("all"))
+    found = blocking.top(price, ["i1"], [F.desc("p"), F.col("i23")], 20, "best_rank")
+    orders = R.table(spark, sf, "orders").select(F.lit("all").alias("cty"), F.col("o_orderkey").alias("i23"), F.col("o_custkey").cast("string").alias("c"))
+    groups = blocking.duplicate_groups(orders, "i23", F.col("c"))
+    return blocking.add_mates(found, groups, "i1", "i23", F.col("best_rank") <= 3, "best_rank").select("i1", "i23", "best_rank")
+
+
+@_query(f"""WITH {_DOCS}, k AS (SELECT cty, unnest(list_distinct(list_filter(list_transform(range(1, len(words)), lambda i: words[i] || '_' || words[i + 1]),
+lambda b: regexp_matches(b, '^[0-9]')))) AS key FROM docs) SELECT cty, key, count(*) AS n FROM k GROUP BY 1, 2""")
+def number_bigrams(spark, sf):
+    return (
+        _docs(spark, sf).select("cty", F.explode(F.array_distinct(blocking.bigram_keys(F.col("words")))).alias("key")).groupBy("cty", "key").agg(F.count("*").alias("n"))
+    )
+
+
+@_query(f"""WITH {_EDGES}, {_TRUTH}, {_RANKED}, c AS (SELECT i1, i23 FROM ranked WHERE r <= 50),
+h AS (SELECT count(*) AS pairs, count(t.i1) AS hits FROM c LEFT JOIN truth t ON t.i1 = c.i1 AND t.i23 = c.i23),
+n AS (SELECT count(*) AS nl FROM supplier), m AS (SELECT count(*) AS nr FROM orders), k AS (SELECT count(*) AS truth FROM truth)
+SELECT pairs, truth, hits, round(hits / truth, 6) AS completeness, round(hits / pairs, 6) AS quality,
+round(1 - pairs / (nl * CAST(nr AS DOUBLE)), 6) AS reduction, round(pairs / nl, 6) AS pairs_per_query FROM h, n, m, k""")
+def blocking_report(spark, sf):
+    every = lambda df: df.withColumn("cty", F.lit("all"))
+    found = blocking.top(R.scored_edges(spark, sf), ["i1"], [F.desc("p"), F.col("i23")], 50)
+    n = lambda name: every(R.table(spark, sf, name)).groupBy("cty").agg(F.count("*").alias("n"))
+    rows = blocking.report(every(found).select("cty", "i1", "i23"), every(_truth(spark, sf)), n("supplier"), n("orders"))
+    measures = ("completeness", "quality", "reduction", "pairs_per_query")
+    return rows.select("pairs", "truth", "hits", *[_r(c, c) for c in measures])
+
+
+# Windows.
+
+
+@_query(f"""WITH {_EDGES} SELECT i1, i23, CAST(row_number() OVER (PARTITION BY i1 ORDER BY p DESC, i23) AS INTEGER) AS p_rank,
+round(max(p) OVER (PARTITION BY i1) - p, 6) AS p_gap, count(*) OVER (PARTITION BY i1) AS n_cand,
+CAST(row_number() OVER (PARTITION BY i23 ORDER BY p DESC, i1) AS INTEGER) AS p_rev_rank, count(*) OVER (PARTITION BY i23) AS rev_n,
+round(max(p) OVER (PARTITION BY i23) - p, 6) AS p_rev_gap FROM edges""")
+def competition_features(spark, sf):
+    rows = context.competition(R.scored_edges(spark, sf), "p")
+    return rows.select("i1", "i23", "p_rank", _r("p_gap", "p_gap"), "n_cand", "p_rev_rank", "rev_n", _r("p_rev_gap", "p_rev_gap"))
+
+
+@_query(f"""WITH {_EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY i1 ORDER BY p DESC, i23) AS r_i1, max(p) OVER (PARTITION BY i1) - p AS gap_i1,
+count(*) FILTER (p >= 0.5) OVER (PARTITION BY i1) AS n05_i1, count(*) FILTER (p >= 0.9) OVER (PARTITION BY i1) AS n09_i1, sum(p) OVER (PARTITION BY i1) AS psum_i1,
+row_number() OVER (PARTITION BY i23 ORDER BY p DESC, i1) AS r_i23, count(*) FILTER (p >= 0.5) OVER (PARTITION BY i23) AS n05_i23,
+count(*) OVER (PARTITION BY i23) AS n, max(p) OVER (PARTITION BY i23) AS best,
+nth_value(p, 2) OVER (PARTITION BY i23 ORDER BY p DESC, i1 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM edges)
+SELECT i1, i23, CAST(r_i1 AS INTEGER) AS r_i1, round(gap_i1, 6) AS gap_i1, n05_i1, n09_i1, round(psum_i1, 6) AS psum_i1, CAST(r_i23 AS INTEGER) AS r_i23, n05_i23,
+round(CASE WHEN n = 1 THEN 0 WHEN r_i23 = 1 THEN second ELSE best END, 6) AS comp FROM r""")
+def context_features(spark, sf):
+    rows = context.rerank_features(R.scored_edges(spark, sf))
+    return rows.select(
+        "i1", "i23", "r_i1", _r("gap_i1", "gap_i1"), "n05_i1", "n09_i1", _r("psum_i1", "psum_i1"), "r_i23", "n05_i23", _r("comp", "comp")
+    )
+
+
+@_query(f"""WITH {_EDGES}, {_RANKED}, f AS (SELECT a.i1, a.i23, a.p, b.i23 AS mate, b.p AS m_p FROM ranked a
+LEFT JOIN ranked b ON a.i1 = b.i1 AND b.r = CASE WHEN a.r = 1 THEN 2 ELSE 1 END), s AS (SELECT i1, count(*) FILTER (p >= 0.5) AS k FROM edges GROUP BY 1)
+SELECT i1, i23, mate, m_p, k - CAST(p >= 0.5 AS INTEGER) AS m_n_strong FROM f JOIN s USING (i1)""")
+def best_mate(spark, sf):
+    return context.best_other(R.scored_edges(spark, sf)).select("i1", "i23", "mate", "m_p", "m_n_strong")
+
+
+@_query(f"""WITH {_EDGES}, {_RANKED}, q AS (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS c FROM ranked),
+e AS (SELECT *, sum(-c * ln(c) - (1 - c) * ln(1 - c)) OVER (PARTITION BY i1) AS entropy, count(*) FILTER (p >= 0.01) OVER (PARTITION BY i1) AS mass FROM q),
+m AS (SELECT *, CAST(least(greatest(CASE WHEN entropy < 0.05 THEN 5 WHEN entropy > 1.0 THEN 20 ELSE 10 END, mass + 2, 5), 20) AS INTEGER) AS m FROM e)
+SELECT i1, i23, CAST(r AS INTEGER) AS r, m FROM m WHERE r <= m AND (p >= 0.002 OR r <= 5)""")
+def adaptive_m(spark, sf):
+    return context.adaptive_lists(R.scored_edges(spark, sf)).select("i1", "i23", "r", "m")
+
+
+@_query(f"""WITH {_EDGES}, {_RANKED} SELECT i1, i23, CAST(r AS INTEGER) AS r, round(sum(p) OVER (PARTITION BY i1 ORDER BY r), 6) AS cum_p,
+count(*) OVER (PARTITION BY i1) AS n_list FROM ranked""")
+def list_features(spark, sf):
+    rows = context.list_features(R.scored_edges(spark, sf))
+    return rows.select("i1", "i23", "r", _r("cum_p", "cum_p"), "n_list")
+
+
+# Comparison.
+
+
+@_query(f"""WITH {_NAME_PAIRS}, s AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM pairs)
+SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM s""")
+def jaccard_pairs(spark, sf):
+    return _name_pairs(spark, sf).select("a", "b", _r(S.jaccard(F.split("a", " "), F.split("b", " ")), "jaccard"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+
+
+@_query(f"""WITH {_NAME_PAIRS}, g AS (SELECT a, b, {_GRAMS.format('a')} AS x, {_GRAMS.format('b')} AS y FROM pairs)
+SELECT a, b, round(len(list_intersect(x, y)) / sqrt(len(x) * len(y)), 6) AS c3 FROM g""")
+def gram_cosine_pairs(spark, sf):
+    return _name_pairs(spark, sf).select("a", "b", _r(S.gram_cosine(F.col("a"), F.col("b")), "c3"))
+
+
+@_query(f"WITH {_NAME_PAIRS} SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS lev FROM pairs")
+def edit_similarity_pairs(spark, sf):
+    return _name_pairs(spark, sf).select("a", "b", _r(S.edit_similarity(F.col("a"), F.col("b")), "lev"))
+
+
+@_query(f"WITH {_NAME_PAIRS} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jw FROM pairs")
+def jaro_winkler_pairs(spark, sf):
+    return _name_pairs(spark, sf).select("a", "b", _r(S.of_columns(S.jaro_winkler, F.col("a"), F.col("b")), "jw"))
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderpriority LIKE '4%' THEN '' ELSE o_orderpriority END AS pr FROM orders),
+x AS (SELECT o_custkey, o_orderstatus, pr, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM o)
+SELECT a.o_custkey, CAST(CASE WHEN a.pr = '' OR b.pr = '' THEN -1 ELSE CAST(a.pr = b.pr AS INTEGER) END AS DOUBLE) AS a_priority,
+CAST(a.o_orderstatus = b.o_orderstatus AS DOUBLE) AS a_status FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.r = 1 AND b.r = 2""")
+def tri_state_compare(spark, sf):
+    orders = R.table(spark, sf, "orders").withColumn("pr", F.when(F.col("o_orderpriority").startswith("4"), "").otherwise(F.col("o_orderpriority")))
+    two = blocking.top(orders, ["o_custkey"], [F.col("o_orderkey")], 2)
+    a, b = (two.where(F.col("rank") == k).select("o_custkey", F.col("pr").alias(f"pr{k}"), F.col("o_orderstatus").alias(f"st{k}")) for k in (1, 2))
+    return a.join(b, "o_custkey").select(
+        "o_custkey", S.agreement(F.col("pr1"), F.col("pr2")).alias("a_priority"), S.agreement(F.col("st1"), F.col("st2")).alias("a_status")
+    )
+
+
+@_query(f"""WITH {_NAME_PAIRS}, d AS (SELECT w, ln((SELECT count(*) FROM names) / count(*)) AS idf FROM (SELECT DISTINCT name, w FROM ws) GROUP BY 1),
+p AS (SELECT DISTINCT a, b, t.w, t.w IN (SELECT unnest(string_split(a, ' '))) AND t.w IN (SELECT unnest(string_split(b, ' '))) AS sh FROM pairs,
+LATERAL (SELECT unnest(string_split(a, ' ') || string_split(b, ' ')) AS w) t)
+SELECT a, b, round(coalesce(sum(idf) FILTER (sh), 0) / sum(idf), 6) AS overlap, round(coalesce(max(idf) FILTER (sh), 0), 6) AS top_shared
+FROM p JOIN d USING (w) GROUP BY 1, 2""")
+def idf_overlap_pairs(spark, sf):
+    names = _names(spark, sf).withColumn("cty", F.lit("all")).withColumn("words", F.split("name", " "))
+    weighed = enrich.with_idf(names, "name", "words", enrich.idf_table(names, "words"), "w")
+    maps = weighed.select("name", F.map_from_arrays("words", "w").alias("m"))
+    rows = _name_pairs(spark, sf).join(maps.select(F.col("name").alias("a"), F.col("m").alias("ma")), "a").join(
+        maps.select(F.col("name").alias("b"), F.col("m").alias("mb")), "b"
+    )
+    overlap, top = S.weighted_overlap(F.col("ma"), F.col("mb"))
+    return rows.select("a", "b", _r(overlap, "overlap"), _r(top, "top_shared"))
+
+
+# Mining, vectors.
+
+
+@_query("""WITH l AS (SELECT l_returnflag AS x, l_linestatus AS y, l_shipdate, l_discount FROM lineitem),
+p AS (SELECT x, y, count(*) AS k FROM l WHERE l_discount >= 0.08 GROUP BY 1, 2), q AS (SELECT x, y, count(*) AS neg FROM l WHERE l_discount < 0.08 GROUP BY 1, 2),
+n AS (SELECT count(*) FILTER (l_discount >= 0.08) AS np, count(*) FILTER (l_discount < 0.08) AS nn FROM l)
+SELECT x, y, k, coalesce(neg, 0) AS neg, round((k / np) / ((coalesce(neg, 0) + 0.5) / nn), 6) AS lift FROM p LEFT JOIN q USING (x, y), n WHERE k >= 5""")
+def lift_filter(spark, sf):
+    lines = R.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("x"), F.col("l_linestatus").alias("y"), "l_discount")
+    sides = [lines.where(c).groupBy("x", "y").agg(F.count("*").alias("k")) for c in ("l_discount >= 0.08", "l_discount < 0.08")]
+    n = lines.agg(F.count_if(F.col("l_discount") >= 0.08).alias("p"), F.count_if(F.col("l_discount") < 0.08).alias("n")).first()
+    return mining.with_lift(*sides, n["p"], n["n"], ["x", "y"]).select("x", "y", "k", "neg", _r("lift", "lift"))
+
+
+@_query("""WITH e AS (SELECT vec_id, label AS cty, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.cty, a.vec_id AS i1, b.vec_id AS i23, round(list_dot_product(a.v, b.v), 6) AS dcos FROM e a JOIN e b ON a.cty = b.cty),
+f AS (SELECT *, row_number() OVER (PARTITION BY cty, i1 ORDER BY dcos DESC, i23) AS drank, row_number() OVER (PARTITION BY cty, i23 ORDER BY dcos DESC, i1) AS drev FROM s)
+SELECT cty, i1, i23, dcos, CAST(CASE WHEN drank <= 20 THEN drank END AS INTEGER) AS drank, CAST(CASE WHEN drev <= 3 THEN drev END AS INTEGER) AS drev_rank
+FROM f WHERE drank <= 20 OR drev <= 3""")
+def knn_forward_reverse(spark, sf):
+    rows = R.table(spark, sf, "embeddings").select(F.col("vec_id").alias("i1"), F.col("label").alias("cty"), F.col("embedding").cast("array<double>").alias("v"))
+    return dense.forward_reverse(dense.similarities(rows, rows.withColumnRenamed("i1", "i23"), 21, 4))
+
+
+# Decisions.
+
+
+@_query(f"WITH {_EDGES}, {_EXCLUSIVE} SELECT i1, i23, round(p, 8) AS p FROM own")
+def exclusivity_margin(spark, sf):
+    return decide.exclusive(R.scored_edges(spark, sf), 0.1, 0.9).select("i1", "i23", F.round("p", 8).alias("p"))
+
+
+@_query(f"WITH {_EDGES}, {_EXCLUSIVE}, t AS (SELECT *, row_number() OVER (PARTITION BY i1 ORDER BY p DESC, i23) AS r FROM own WHERE p >= 0.5) SELECT i1, i23, CAST(r AS INTEGER) AS r FROM t WHERE r <= 10")
+def global_threshold(spark, sf):
+    return decide.threshold(decide.exclusive(R.scored_edges(spark, sf), 0.1, 0.9), 0.5).select("i1", "i23", F.col("rank").alias("r"))
+
+
+_EF2 = """WITH e AS (SELECT o_custkey AS i1, o_orderkey AS i23, round(o_totalprice / 600000, 6) AS p FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY i1 ORDER BY p DESC, i23) AS r FROM e WHERE p >= 0.1), t AS (SELECT i1, sum(p) AS tot FROM e GROUP BY 1),
+l AS (SELECT i1, max(p) FILTER (r = 1) AS a, coalesce(max(p) FILTER (r = 2), 0) AS b, max(r) AS n FROM r WHERE r <= 2 GROUP BY 1),
+v AS (SELECT i1, n, a * 5 / (5 + greatest(tot - a, 0)) AS v1,
+(a * (1 - b) + b * (1 - a)) * 5 / (5 + greatest(tot - a - b, 0) + 4) + a * b * 10 / (10 + greatest(tot - a - b, 0)) AS v2 FROM l JOIN t USING (i1))
+SELECT i1, CASE WHEN n >= 2 AND v2 > greatest(v1, 0.5) THEN 2 WHEN v1 > 0.5 THEN 1 ELSE 0 END AS n_selected,
+round(CASE WHEN n >= 2 THEN greatest(v1, v2, 0.5) ELSE greatest(v1, 0.5) END, 6) AS expected FROM v"""
+
+
+def _order_edges(spark, sf):
+    return R.table(spark, sf, "orders").select(F.col("o_custkey").alias("i1"), F.col("o_orderkey").alias("i23"), F.round(F.col("o_totalprice") / 600000, 6).alias("p"))
+
+
+@_query(_EF2)
+def expected_f_two(spark, sf):
+    return decide.expected_f(_order_edges(spark, sf), 0.1, 2).select("i1", "n_selected", _r("expected", "expected"))
+
+
+@_query()
+def expected_f_select(spark, sf):
+    edges = _order_edges(spark, sf)
+    return decide.select_top(edges, decide.expected_f(edges), 0.1)
+
+
+_LINKS = "links AS (SELECT i1, a.i23 AS x, b.i23 AS y, round(1 - abs(a.p - b.p), 6) AS p_link FROM ranked a JOIN ranked b USING (i1) WHERE a.r <= 8 AND b.r <= 8 AND a.p >= 0.05 AND b.p >= 0.05 AND a.i23 < b.i23)"
+
+
+def _links(spark, sf):
+    edges = R.scored_edges(spark, sf)
+    pairs = graph.record_pairs(edges)
+    px, py = edges.select("i1", F.col("i23").alias("x"), F.col("p").alias("px")), edges.select("i1", F.col("i23").alias("y"), F.col("p").alias("py"))
+    return pairs.join(px, ["i1", "x"]).join(py, ["i1", "y"]).select("i1", "x", "y", F.round(1 - F.abs(F.col("px") - F.col("py")), 6).alias("p_link"))
+
+
+@_query(f"""WITH {_EDGES}, {_RANKED}, {_LINKS}, w AS (SELECT i1, x AS i23, y AS m, p_link FROM links WHERE p_link >= 0.999
+UNION ALL SELECT i1, y, x, p_link FROM links WHERE p_link >= 0.999), u AS (SELECT w.i1, w.i23, max(p_link * e.p) AS up FROM w JOIN edges e ON e.i1 = w.i1 AND e.i23 = w.m GROUP BY 1, 2)
+SELECT i1, i23, round(greatest(p, coalesce(up, 0)), 6) AS p FROM edges LEFT JOIN u USING (i1, i23)""")
+def propagate_links(spark, sf):
+    return decide.propagate(R.scored_edges(spark, sf), _links(spark, sf), 0.999).select("i1", "i23", _r("p", "p"))
+
+
+@_query(f"""WITH RECURSIVE {_EDGES}, {_RANKED}, {_LINKS}, b AS (SELECT x AS a, y AS b FROM links WHERE p_link >= 0.9999 UNION SELECT y, x FROM links WHERE p_link >= 0.9999),
+reach AS (SELECT a AS node, a AS comp FROM b UNION SELECT b.b, r.comp FROM reach r JOIN b ON b.a = r.node)
+SELECT node, min(comp) AS comp FROM reach GROUP BY 1""")
+def connected_components(spark, sf):
+    return graph.components(_links(spark, sf).where("p_link >= 0.9999"), "x", "y")
+
+
+@_query(f"""WITH RECURSIVE {_EDGES}, {_RANKED}, {_LINKS}, b AS (SELECT x AS a, y AS b FROM links WHERE p_link >= 0.9999 UNION SELECT y, x FROM links WHERE p_link >= 0.9999),
+reach AS (SELECT a AS node, a AS comp FROM b UNION SELECT b.b, r.comp FROM reach r JOIN b ON b.a = r.node), c AS (SELECT node, min(comp) AS comp FROM reach GROUP BY 1),
+l AS (SELECT i1, coalesce(comp, i23) AS comp, p, row_number() OVER (PARTITION BY i1, coalesce(comp, i23) ORDER BY p DESC) AS k FROM edges LEFT JOIN c ON c.node = i23)
+SELECT i1, comp, count(*) AS n, round(sum(p), 6) AS p_sum, max(p) AS p_max, coalesce(max(p) FILTER (k = 2), max(p)) AS p_second,
+round(avg(p), 6) AS p_mean, round(coalesce(stddev_samp(p), 0), 6) AS p_std FROM l GROUP BY 1, 2""")
+def cluster_features(spark, sf):
+    found = graph.components(_links(spark, sf).where("p_link >= 0.9999"), "x", "y")
+    rows = graph.cluster_features(R.scored_edges(spark, sf), found)
+    return rows.select("i1", "comp", "n", _r("p_sum", "p_sum"), "p_max", "p_second", _r("p_mean", "p_mean"), _r("p_std", "p_std"))
+
+
+@_query()
+def capped_clusters(spark, sf):
+    return graph.clusters(_links(spark, sf), 8, (0.9995, 0.9999, 0.99995))
+
+
+_SURE = "sure AS (SELECT i1, i23 FROM edges WHERE p >= 0.985)"
+
+
+@_query(f"""WITH RECURSIVE {_EDGES}, {_SURE}, b AS (SELECT 'a' || i1 AS a, 'b' || i23 AS b FROM sure UNION SELECT 'b' || i23, 'a' || i1 FROM sure),
+reach AS (SELECT a AS node, a AS comp FROM b UNION SELECT b.b, r.comp FROM reach r JOIN b ON b.a = r.node), c AS (SELECT node, min(comp) AS comp FROM reach GROUP BY 1),
+e AS (SELECT comp, count(*) AS n_edges FROM sure JOIN c ON c.node = 'a' || i1 GROUP BY 1)
+SELECT comp, count(*) FILTER (starts_with(node, 'a')) AS n_left, count(*) FILTER (starts_with(node, 'b')) AS n_right, any_value(n_edges) AS n_edges FROM c JOIN e USING (comp) GROUP BY 1""")
+def component_sizes(spark, sf):
+    return graph.sizes(R.scored_edges(spark, sf).where("p >= 0.985"))
+
+
+@_query()
+def component_assignment(spark, sf):
+    return graph.solve(R.scored_edges(spark, sf).where("p >= 0.985"), largest=60)
+
+
+@_query(f"""WITH {_EDGES}, a AS (SELECT i1, i23 FROM edges WHERE p >= 0.8), b AS (SELECT i1, i23 FROM edges QUALIFY row_number() OVER (PARTITION BY i1 ORDER BY p DESC, i23) <= 30),
+c AS (SELECT i1, i23 FROM edges QUALIFY row_number() OVER (PARTITION BY i23 ORDER BY p DESC, i1) = 1), {_TRUTH},
+s AS (SELECT *, 'a' AS src FROM a UNION ALL SELECT *, 'b' FROM b UNION ALL SELECT *, 'c' FROM c UNION ALL SELECT *, 'd' FROM truth),
+v AS (SELECT i1, i23, count(DISTINCT src) AS votes, CAST(bool_or(src = 'a') AS INTEGER) AS own FROM s GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY i23 ORDER BY own DESC, votes DESC, i1) AS r FROM v WHERE votes >= 2)
+SELECT i1, i23, votes, own FROM k WHERE r = 1""")
+def vote_of_four(spark, sf):
+    edges = R.scored_edges(spark, sf)
+    sets = {
+        "a": edges.where("p >= 0.8"),
+        "b": blocking.top(edges, ["i1"], [F.desc("p"), F.col("i23")], 30),
+        "c": decide.exclusive(edges),
+        "d": _truth(spark, sf),
+    }
+    return decide.vote(sets, "a").select("i1", "i23", "votes", "own")
+
+
+@_query(f"WITH {_EDGES} SELECT i1, i23, round(1 / (1 + exp(-(ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))) - 0.7))), 6) AS p FROM edges")
+def prior_shift(spark, sf):
+    return R.scored_edges(spark, sf).select("i1", "i23", _r(decide.shifted(F.col("p"), -0.7), "p"))
+
+
+_GRID = (0.3, 0.5, 0.7, 0.9)
+
+
+@_query(f"""WITH {_EDGES}, {_EXCLUSIVE}, {_TRUTH}, g AS (SELECT unnest([0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS threshold), n AS (SELECT threshold, s_suppkey AS i1 FROM g, supplier),
+m AS (SELECT threshold, o.i1, count(*) AS n, count(t.i1) AS tp FROM g JOIN own o ON o.p >= threshold LEFT JOIN truth t ON t.i1 = o.i1 AND t.i23 = o.i23 GROUP BY 1, 2),
+k AS (SELECT i1, count(*) AS nt FROM truth GROUP BY 1)
+SELECT threshold, round(avg(CASE WHEN coalesce(n, 0) = 0 AND coalesce(nt, 0) = 0 THEN 1 ELSE 5 * coalesce(tp, 0) / (5 * coalesce(tp, 0) + coalesce(nt, 0) - coalesce(tp, 0) + 4 * (coalesce(n, 0) - coalesce(tp, 0))) END), 6) AS macro_f05
+FROM n LEFT JOIN m USING (threshold, i1) LEFT JOIN k USING (i1) GROUP BY 1""")
+def grid_tune(spark, sf):
+    own = decide.exclusive(R.scored_edges(spark, sf), 0.1, 0.9)
+    n = R.table(spark, sf, "supplier").count()
+    return decide.grid(own, _truth(spark, sf), n, list(_GRID)).select("threshold", _r("macro_f05", "macro_f05"))
+
+
+@_query(f"""WITH {_EDGES}, {_RANKED}, {_TRUTH}, h AS (SELECT r.i1, r.r, count(t.i1) OVER (PARTITION BY r.i1 ORDER BY r.r) AS tp FROM ranked r LEFT JOIN truth t ON t.i1 = r.i1 AND t.i23 = r.i23 WHERE r.r <= 8),
+k AS (SELECT i1, count(*) AS nt FROM truth GROUP BY 1), a AS (SELECT i1, CAST(r AS INTEGER) AS k, tp FROM h UNION ALL SELECT DISTINCT i1, 0, 0 FROM edges)
+SELECT a.i1, a.k, round(1 - CASE WHEN a.k = 0 AND coalesce(nt, 0) = 0 THEN 1 ELSE 5 * tp / (5 * tp + coalesce(nt, 0) - tp + 4 * (a.k - tp)) END, 6) AS cost FROM a LEFT JOIN k USING (i1)""")
+def policy_cost_table(spark, sf):
+    rows = decide.cost_table(R.scored_edges(spark, sf), _truth(spark, sf))
+    return rows.select("i1", "k", _r("cost", "cost"))
+
+
+# Measures.
+
+_SCORES = f"""{_EDGES}, {_EXCLUSIVE}, {_TRUTH}, pr AS (SELECT i1, i23 FROM own WHERE p >= 0.5),
+g AS (SELECT pr.i1, count(*) AS n, count(t.i1) AS tp FROM pr LEFT JOIN truth t ON t.i1 = pr.i1 AND t.i23 = pr.i23 GROUP BY 1), k AS (SELECT i1, count(*) AS nt FROM truth GROUP BY 1),
+sc AS (SELECT s_suppkey AS i1, s_nationkey, coalesce(n, 0) AS n, coalesce(tp, 0) AS tp, coalesce(nt, 0) AS nt FROM supplier LEFT JOIN g ON g.i1 = s_suppkey LEFT JOIN k ON k.i1 = s_suppkey),
+f AS (SELECT *, CASE WHEN n = 0 AND nt = 0 THEN 1 ELSE 5 * tp / (5 * tp + nt - tp + 4 * (n - tp)) END AS f05 FROM sc)"""
+
+
+def _scores(spark, sf):
+    predicted = decide.exclusive(R.scored_edges(spark, sf), 0.1, 0.9).where("p >= 0.5")
+    return metrics.entity_scores(predicted, _truth(spark, sf), _entities(spark, sf))
+
+
+@_query(f"""WITH {_SCORES} SELECT count(*) AS n, round(avg(f05), 6) AS macro_f05, round(avg(CAST(n = 0 AS DOUBLE)), 6) AS share_empty,
+round(sum(tp) / sum(n), 6) AS precision, round(sum(tp) / sum(nt), 6) AS recall FROM f""")
+def macro_f05(spark, sf):
+    rows = metrics.macro(_scores(spark, sf))
+    return rows.select("n", *[_r(c, c) for c in ("macro_f05", "share_empty", "precision", "recall")])
+
+
+@_query(f"""WITH {_SCORES} SELECT s_nationkey, count(*) AS n, round(avg(f05), 6) AS macro_f05, round(avg(CAST(n = 0 AS DOUBLE)), 6) AS share_empty,
+round(sum(tp) / nullif(sum(n), 0), 6) AS precision, round(sum(tp) / nullif(sum(nt), 0), 6) AS recall FROM f GROUP BY 1""")
+def slice_report(spark, sf):
+    nations = R.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i1"), "s_nationkey")
+    rows = metrics.macro(_scores(spark, sf).join(nations, "i1"), ["s_nationkey"])
+    return rows.select("s_nationkey", "n", *[_r(c, c) for c in ("macro_f05", "share_empty", "precision", "recall")])
+
+
+_LABELLED = f"{_EDGES}, {_TRUTH}, lab AS (SELECT e.i1, e.i23, e.p, CAST(t.i1 IS NOT NULL AS INTEGER) AS y FROM edges e LEFT JOIN truth t ON t.i1 = e.i1 AND t.i23 = e.i23)"
+
+
+def _labelled(spark, sf):
+    truth = _truth(spark, sf).withColumn("__t", F.lit(1))
+    return R.scored_edges(spark, sf).join(truth, ["i1", "i23"], "left").select("i1", "i23", "p", F.col("__t").isNotNull().cast("int").alias("y"))
+
+
+@_query(f"WITH {_LABELLED} SELECT CAST(least(floor(p * 15), 14) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(CAST(y AS DOUBLE)), 6) AS mean_y FROM lab GROUP BY 1")
+def reliability_bins(spark, sf):
+    return metrics.reliability(_labelled(spark, sf)).select("bin", "n", _r("mean_p", "mean_p"), _r("mean_y", "mean_y"))
+
+
+@_query(f"""WITH {_LABELLED}, b AS (SELECT least(floor(p * 15), 14) AS bin, count(*) AS n, avg(p) AS mp, avg(CAST(y AS DOUBLE)) AS my FROM lab GROUP BY 1)
+SELECT round(sum(n * abs(mp - my)) / sum(n), 6) AS ece FROM b""")
+def calibration_error(spark, sf):
+    return metrics.calibration_error(metrics.reliability(_labelled(spark, sf))).select(_r("ece", "ece"))
+
+
+@_query()
+def bootstrap_interval(spark, sf):
+    scores = _scores(spark, sf).withColumn("zero", F.lit(0.0))
+    return metrics.bootstrap(scores, "f05", "zero", "i1")
+
+
+# Fellegi-Sunter and scorers.
+
+_LEVELS = {"price": 5, "quantity": 4, "flag": 3}
+_LEVEL_SQL = f"""{_TRUTH}, lv AS (SELECT l_suppkey AS i1, l_orderkey AS i23, l_linenumber,
+1 + CAST(l_extendedprice >= 20000 AS INTEGER) + CAST(l_extendedprice >= 40000 AS INTEGER) + CAST(l_extendedprice >= 70000 AS INTEGER) AS price,
+1 + CAST(l_quantity >= 20 AS INTEGER) + CAST(l_quantity >= 40 AS INTEGER) AS quantity,
+CASE WHEN l_tax = 0 THEN 0 WHEN l_linestatus = 'F' THEN 2 ELSE 1 END AS flag, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)"""
+
+
+def _level_rows(spark, sf):
+    lines = R.table(spark, sf, "lineitem")
+    status = F.when(F.col("l_tax") == 0, -1.0).when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)
+    return lines.select(
+        em.banded(F.col("l_extendedprice"), (20000, 40000, 70000)).alias("price"),
+        em.banded(F.col("l_quantity"), (20, 40)).alias("quantity"),
+        em.agreed(status).alias("flag"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y"),
+    )
+
+
+@_query(f"WITH {_LEVEL_SQL} SELECT price, quantity, flag, count(*) AS n, sum(y)::BIGINT AS n_true FROM lv GROUP BY 1, 2, 3")
+def comparison_levels(spark, sf):
+    return em.counted(_level_rows(spark, sf), list(_LEVELS), "y")
+
+
+def _weight_sql(field: str, size: int) -> str:
+    return f"""SELECT '{field}' AS field, l AS level, round(log2(((SELECT count(*) FROM lv WHERE y = 1 AND {field} = l) + 1) / ((SELECT count(*) FROM lv WHERE y = 1) + {size})
+/ (((SELECT count(*) FROM lv WHERE y = 0 AND {field} = l) + 1) / ((SELECT count(*) FROM lv WHERE y = 0) + {size}))), 6) AS weight FROM range(0, {size}) r(l)"""
+
+
+@_query(f"WITH {_LEVEL_SQL} SELECT field, level, weight FROM (" + " UNION ALL ".join(_weight_sql(f, n) for f, n in _LEVELS.items()) + ")")
+def weights_supervised(spark, sf):
+    rows = _level_rows(spark, sf)
+    fitted = em.supervised(rows, _LEVELS)
+    every = None
+    for f, n in _LEVELS.items():
+        one = spark.range(n).select(F.lit(f).alias("field"), F.col("id").alias("level"), F.col("id").cast("int").alias(f))
+        one = one.select("field", "level", _r(fitted.field_weight(f), "weight"))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+@_query()
+def weights_em(spark, sf):
+    rows = _level_rows(spark, sf)
+    fitted = em.fit(rows, _LEVELS, em.supervised(rows, _LEVELS))
+    return fitted.scored(em.counted(rows, list(_LEVELS)))
+
+
+def _feature_rows(spark, sf):
+    labelled = _labelled(spark, sf)
+    return context.competition(labelled, "p")
+
+
+_FEATURES = ["p", "p_gap", "n_cand", "rev_n", "p_rev_gap"]
+
+
+@_query()
+def blocking_scorer(spark, sf):
+    rows = _feature_rows(spark, sf)
+    return models.scorer(rows, _FEATURES)(rows, "blk").select("i1", "i23", "blk")
+
+
+@_query()
+def out_of_fold_scores(spark, sf):
+    rows = _feature_rows(spark, sf)
+    return models.out_of_fold(rows, "i1", lambda kept: models.scorer(kept, _FEATURES, iterations=20)).select("i1", "i23", "y", "p_oof")
+
+
+@_query()
+def isotonic_calibration(spark, sf):
+    return models.isotonic(_labelled(spark, sf))(_labelled(spark, sf)).select("i1", "i23", "p_cal")
+
+
+@_query(f"""WITH {_LABELLED}, c AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM lab GROUP BY 1), u AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM c)
+SELECT round(sum(pos * (under + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM u""")
+def ranking_auc(spark, sf):
+    return models.auc(_labelled(spark, sf)).select(_r("auc", "auc"))
+
+
+# Parser, features, mining and the whole plan.
+
+
+@_query()
+def record_parser(spark, sf):
+    return parse.parse_records(R.document_records(spark, sf)).select("entity_id", "cty", *parse.FIELDS)
+
+
+@_query()
+def part_features(spark, sf):
+    """Names of parts with a shared word and brand, parsed, enriched and compared."""
+    rows = R.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("cty"), F.col("p_name").alias("business_name"), F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("main street")).alias("business_address")
+    )
+    # every step joins the records with statistics of themselves: cut the lineage, or plans grow exponentially
+    parsed = graph.cut(parse.parse_records(rows))
+    for words, out in (("core", "core_idf"), ("a_toks", "a_idf")):
+        parsed = graph.cut(enrich.with_idf(parsed, "id", words, enrich.idf_table(parsed, words), out))
+    parsed = graph.cut(enrich.with_region(parsed, "id", "segs", enrich.region_vocabulary(parsed, "segs")))
+    parsed = parsed.withColumn("anchor", enrich.anchor(F.col("house"), F.col("street")))
+    for value, kind in (("k_sorted", "core"), ("anchor", "addr")):
+        for side in ("s1", "s23"):
+            parsed = graph.cut(enrich.with_frequency(parsed, parsed, value, f"f_{kind}_{side}"))
+    same = blocking.duplicate_groups(parsed, "id", F.col("k_sorted"), 2, 40)
+    pairs = same.select("cty", "gid", F.col("id").alias("i1")).join(same.select("cty", "gid", F.col("id").alias("i23")), ["cty", "gid"]).where("i1 < i23").select("i1", "i23")
+    return compare.compare(pairs, parsed.withColumnRenamed("id", "i1"), parsed.withColumnRenamed("id", "i23"))
+
+
+@_query()
+def variant_mining(spark, sf):
+    """Words of part names that stand for each other between parts of one size and type, against parts of different type."""
+    parts = R.table(spark, sf, "part").select("p_partkey", F.lit("all").alias("cty"), F.col("p_type"), F.col("p_brand"), F.split("p_name", " ").alias("words"))
+    names = parts.select("cty", "p_type", "p_brand", "words").distinct()
+    a, b = names.withColumnRenamed("words", "a"), names.withColumnRenamed("words", "b")
+    near = a.join(b, ["cty", "p_type", "p_brand"]).where(F.array_join("a", " ") < F.array_join("b", " "))
+    far = a.join(b.withColumnRenamed("p_type", "other"), ["cty", "p_brand"]).where((F.col("p_type") < F.col("other")) & (F.array_join("a", " ") < F.array_join("b", " ")))
+    frequency = parts.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    lifted = mining.with_lift(mining.counts(near, "a", "b"), mining.counts(far, "a", "b"), max(1, near.count()), max(1, far.count()), ["cty", "x", "y"], 2)
+    return mining.canonical(lifted, frequency, least=0.0, least_similar=0.0)
+
+
+@_query("""SELECT window_start, event_type, n, round(total, 4) AS total FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2024-01-01') AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)""")
+def windowed_events(spark, sf):
+    rows = incremental.windowed(R.table(spark, sf, "events"), "ts", ["event_type"], "1 hour", "10 minutes")
+    return rows.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_LINK_KEYS = "list_distinct(list_transform(list_filter({0}, lambda t: length(t) >= 4), lambda t: 'w:' || t) || list_transform(list_filter(list_transform(range(1, len({0})), lambda i: {0}[i] || '_' || {0}[i + 1]), lambda b: regexp_matches(b, '^[0-9]')), lambda b: 'b:' || b))"
+
+
+@_query(f"""WITH {_DOCS}, items AS (SELECT item_id, {_WORDS.format('text')} AS words FROM benchmark),
+asked AS (SELECT item_id, unnest({_LINK_KEYS.format('words')}) AS key FROM items), dk AS (SELECT doc_id, unnest({_LINK_KEYS.format('words')}) AS key FROM docs),
+dn AS (SELECT count(*) AS n FROM docs), dd AS (SELECT key, count(*) AS df FROM dk GROUP BY 1),
+dr AS (SELECT key, ln(n / df) AS idf FROM dd, dn WHERE df <= greatest(20, ceil(0.005 * n))),
+j AS (SELECT item_id, doc_id, round(sum(idf), 6) AS score FROM asked JOIN dr USING (key) JOIN dk USING (key) GROUP BY 1, 2),
+t AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20),
+s AS (SELECT item_id, doc_id, round(len(list_intersect(list_distinct(i.words), list_distinct(d.words))) / len(list_distinct(i.words || d.words)), 6) AS p FROM t JOIN items i USING (item_id) JOIN docs d USING (doc_id)),
+x AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, item_id) = 1),
+m AS (SELECT * FROM x WHERE p >= 0.05 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY p DESC, doc_id) <= 10)
+SELECT item_id, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id), '') AS matched FROM items LEFT JOIN m USING (item_id) GROUP BY 1""")
+def link_documents(spark, sf):
+    return link.documents_to_benchmark(R.table(spark, sf, "benchmark"), R.table(spark, sf, "documents"))

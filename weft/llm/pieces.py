@@ -41,7 +41,7 @@ from weft.llm.common import bounded_batches
 
 MARK = "▁"
 #: Cuts (about 350 bytes each) and neighbour pairs remembered by a worker before it starts anew.
-CUTS_KEPT = 1_200_000
+CUTS_KEPT = 1_000_000
 PAIRS_KEPT = 400_000
 #: Longer cuts are not remembered.
 CUT_LENGTH = 48

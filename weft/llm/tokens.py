@@ -29,10 +29,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Cuts remembered by a worker before it starts anew, at about 220 bytes each.
-CUTS_KEPT = 2_000_000
+CUTS_KEPT = 800_000
 
 #: Bytes of texts whose cuts are looked up together.
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 6_000_000
 
 _RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 

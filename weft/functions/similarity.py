@@ -128,16 +128,11 @@ def set_ratio(a: str, b: str) -> float:
     return max(found)
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a window of the longer one, cut at its edges."""
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return 100.0 if not long else 0.0
-    n = len(short)
-    letters = set(short)
-    best = 0.0
+def _window_ratio(short: str, long: str) -> float:
+    n, letters, best = len(short), set(short), 0.0
     for start in range(1 - n, len(long)):
         window = long[max(0, start) : start + n]
+        # a window that ends outside the shorter text's letters is beaten by a smaller one
         if (window[-1] in letters or window[0] in letters) and 200.0 * len(window) / (n + len(window)) > best:
             best = max(best, ratio(short, window))
             if best == 100.0:
@@ -145,6 +140,15 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """Best ratio of the shorter text with a window of the longer one, cut at its edges; both ways for equal lengths."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    if len(a) == len(b):
+        return max(_window_ratio(a, b), _window_ratio(b, a))
+    return _window_ratio(*sorted((a, b), key=len))
+
+
 def soft_jaccard(a: list[str], b: list[str], least: float = 0.9) -> float:
     """Jaccard where words count as equal from a Jaro-Winkler similarity on, each used once in order."""
     free = list(b)

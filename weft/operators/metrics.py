@@ -51,6 +51,6 @@ def bootstrap(scores: DataFrame, a: str, b: str, key: str, rounds: int = 200) ->
 
     diff = F.col(a) - F.col(b)
     rounds_ = scores.select(key, diff.alias("d"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    means = rounds_.withColumn("w", draw(F.col("round"))).groupBy("round").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    means = rounds_.withColumn("w", draw(F.col("round"))).groupBy("round").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
     spread = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return scores.agg(F.avg(diff).alias("mean")).join(F.broadcast(spread))  # one row each

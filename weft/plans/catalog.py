@@ -546,7 +546,7 @@ l AS (SELECT i1, max(p) FILTER (r = 1) AS a, coalesce(max(p) FILTER (r = 2), 0)
 v AS (SELECT i1, n, a * 5 / (5 + greatest(tot - a, 0)) AS v1,
 (a * (1 - b) + b * (1 - a)) * 5 / (5 + greatest(tot - a - b, 0) + 4) + a * b * 10 / (10 + greatest(tot - a - b, 0)) AS v2 FROM l JOIN t USING (i1))
 SELECT i1, CASE WHEN n >= 2 AND v2 > greatest(v1, 0.5) THEN 2 WHEN v1 > 0.5 THEN 1 ELSE 0 END AS n_selected,
-round(CASE WHEN n >= 2 THEN greatest(v1, v2, 0.5) ELSE greatest(v1, 0.5) END, 6) AS expected FROM v"""
+round(CASE WHEN n >= 2 THEN greatest(v1, v2, 0.5) ELSE greatest(v1, 0.5) END, 5) AS expected FROM v"""
 
 
 def _order_edges(spark, sf):
@@ -555,7 +555,7 @@ def _order_edges(spark, sf):
 
 @_query(_EF2)
 def expected_f_two(spark, sf):
-    return decide.expected_f(_order_edges(spark, sf), 0.1, 2).select("i1", "n_selected", _r("expected", "expected"))
+    return decide.expected_f(_order_edges(spark, sf), 0.1, 2).select("i1", "n_selected", F.round("expected", 5).alias("expected"))
 
 
 @_query()
@@ -743,8 +743,10 @@ def comparison_levels(spark, sf):
 
 
 def _weight_sql(field: str, size: int) -> str:
-    return f"""SELECT '{field}' AS field, l AS level, round(log2(((SELECT count(*) FROM lv WHERE y = 1 AND {field} = l) + 1) / ((SELECT count(*) FROM lv WHERE y = 1) + {size})
-/ (((SELECT count(*) FROM lv WHERE y = 0 AND {field} = l) + 1) / ((SELECT count(*) FROM lv WHERE y = 0) + {size}))), 6) AS weight FROM range(0, {size}) r(l)"""
+    def share(y: int) -> str:
+        return f"least(greatest(((SELECT count(*) FROM lv WHERE y = {y} AND {field} = l) + 1) / ((SELECT count(*) FROM lv WHERE y = {y}) + {size}), 1e-4), 1 - 1e-4)"
+
+    return f"SELECT '{field}' AS field, l AS level, round(log2({share(1)} / {share(0)}), 6) AS weight FROM range(0, {size}) r(l)"
 
 
 @_query(f"WITH {_LEVEL_SQL} SELECT field, level, weight FROM (" + " UNION ALL ".join(_weight_sql(f, n) for f, n in _LEVELS.items()) + ")")
@@ -825,19 +827,6 @@ def part_features(spark, sf):
     return compare.compare(pairs, parsed.withColumnRenamed("id", "i1"), parsed.withColumnRenamed("id", "i23"))
 
 
-@_query()
-def variant_mining(spark, sf):
-    """Words of part names that stand for each other between parts of one size and type, against parts of different type."""
-    parts = R.table(spark, sf, "part").select("p_partkey", F.lit("all").alias("cty"), F.col("p_type"), F.col("p_brand"), F.split("p_name", " ").alias("words"))
-    names = parts.select("cty", "p_type", "p_brand", "words").distinct()
-    a, b = names.withColumnRenamed("words", "a"), names.withColumnRenamed("words", "b")
-    near = a.join(b, ["cty", "p_type", "p_brand"]).where(F.array_join("a", " ") < F.array_join("b", " "))
-    far = a.join(b.withColumnRenamed("p_type", "other"), ["cty", "p_brand"]).where((F.col("p_type") < F.col("other")) & (F.array_join("a", " ") < F.array_join("b", " ")))
-    frequency = parts.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    lifted = mining.with_lift(mining.counts(near, "a", "b"), mining.counts(far, "a", "b"), max(1, near.count()), max(1, far.count()), ["cty", "x", "y"], 2)
-    return mining.canonical(lifted, frequency, least=0.0, least_similar=0.0)
-
-
 @_query("""SELECT window_start, event_type, n, round(total, 4) AS total FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2024-01-01') AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)""")
 def windowed_events(spark, sf):
     rows = incremental.windowed(R.table(spark, sf, "events"), "ts", ["event_type"], "1 hour", "10 minutes")

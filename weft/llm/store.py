@@ -36,6 +36,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,6 +52,8 @@ FAN = 1024
 PART_ROWS = 250
 #: Digests a task remembers, to write a chunk once.
 SEEN = 200_000
+#: Places of chunks that other tasks wrote before, up to which they are broadcast (8 bytes each).
+BROADCAST = 1_000_000
 
 
 def cuts(ids: np.ndarray) -> np.ndarray:
@@ -94,6 +97,7 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
         encoder = tokens.ids(path)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         end, width, seen = end_id.to_bytes(4, "little"), int(kind[-1]), set()
+        place = TaskContext.get().partitionId() << 32
         sha = hashlib.sha256
         for batch in tokens.grouped(batches):
             streams = encoder.encode(batch.column(1).fill_null(""))
@@ -102,24 +106,28 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
             found = cuts(joined)
             raw = memoryview(joined.astype(kind).tobytes())
             at, bounds = 0, np.searchsorted(found, np.cumsum([0, *sizes]), "right").tolist()
-            ends, digests, parts, roots = [], [], [], []
+            ends, digests, parts, places, roots = [], [], [], [], []
             for i, n in enumerate(sizes):
                 own = ends_of(n, (found[bounds[i] : bounds[i + 1]] - at).tolist())
-                names, data, last = [], [], 0
+                names, data, own_places, last = [], [], [], 0
                 for e in own:
                     chunk = raw[(at + last) * width : (at + e) * width]
                     digest = sha(chunk).digest()
                     names.append(digest)
                     if digest in seen:
                         data.append(None)
+                        own_places.append(None)
                     else:
                         seen.add(digest)
                         data.append(chunk.tobytes())
+                        own_places.append(place)
+                        place += 1
                     last = e
                 at += n
                 ends.append(own)
                 digests.append(names)
                 parts.append(data)
+                places.append(own_places)
                 roots.append(merkle(names))
             if len(seen) > SEEN:
                 seen.clear()
@@ -130,31 +138,35 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
                     pa.array(ends, pa.list_(pa.int64())),
                     pa.array(digests, pa.list_(pa.binary())),
                     pa.array(parts, pa.list_(pa.binary())),
+                    pa.array(places, pa.list_(pa.int64())),
                     pa.array(roots, pa.binary()),
                 ],
-                names=["id", "n_tokens", "ends", "digests", "data", "root"],
+                names=["id", "n_tokens", "ends", "digests", "data", "places", "root"],
             )
 
     own = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = own.schema[0].dataType.simpleString()
     return own.mapInArrow(
-        run, f"id {kind}, n_tokens long, ends array<long>, digests array<binary>, data array<binary>, root binary"
+        run,
+        f"id {kind}, n_tokens long, ends array<long>, digests array<binary>, data array<binary>, places array<long>, root binary",
     )
 
 
 def write(docs: DataFrame, path: str, end_id: int, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the store of ``docs`` in the workspace; returns its folder."""
     rows = work.save(chunked(docs, path, end_id, id_col, text_col), "rows", "lz4")
-    chunks = (
-        rows.select(F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("data").alias("ids"))).alias("c"))
-        .where("c.ids is not null")
-        .select("c.digest", "c.ids")
-        .repartition("digest")  # tasks have no duplicates of their own: combining first would only sort twice
-        .groupBy("digest")
-        .agg(F.first("ids").alias("ids"))
-    )
-    work.save(chunks, "store/chunks")
-    recipes = rows.drop("data")
+    def written(*columns: tuple[str, str]) -> DataFrame:
+        zipped = F.arrays_zip(*[F.col(c).alias(name) for c, name in columns])
+        return rows.select(F.explode(zipped).alias("c")).where("c.place is not null").select("c.*")
+
+    found = written(("digests", "digest"), ("places", "place"))
+    # which of the chunks that several tasks wrote to leave out: only digests and places are shuffled, never ids
+    first = found.groupBy("digest").agg(F.min("place").alias("keep"), F.count("*").alias("n")).where("n > 1")
+    again = work.save(found.join(first, "digest").where("place <> keep").select("place"), "again")
+    again = F.broadcast(again) if again.count() <= BROADCAST else again
+    whole = written(("digests", "digest"), ("data", "ids"), ("places", "place"))
+    work.save(whole.join(again, "place", "left_anti").select("digest", "ids"), "store/chunks")
+    recipes = rows.drop("data", "places")
     order = [F.col("id").asc_nulls_first(), F.col("root")]
     placed = running_start(recipes, ordered_buckets(recipes.select("id"), "id", PART_ROWS), order, "n_tokens", "start", "part")
     place = Window.partitionBy("part").orderBy(*order)

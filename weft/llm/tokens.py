@@ -28,8 +28,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Cuts remembered by a worker before it starts anew, at about 220 bytes each.
-CUTS_KEPT = 800_000
+#: Cuts remembered by a worker, at about 220 bytes each: those met again, and the latest ones.
+CUTS_KEPT, CUTS_NEW = 700_000, 300_000
 
 #: Bytes of texts whose cuts are looked up together.
 GROUP_BYTES = 6_000_000
@@ -57,24 +57,34 @@ class Ids:
                 self.kind = "white"
         #: Of a byte-level model, the ids of a space and the cut.
         self.known: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids_of(self, cuts: list[str]) -> list[bytes | None]:
         """The ids of distinct cuts, of a byte-level model with a space before each; None where none may end."""
-        known, lead = self.known, " " if self.kind == "bytes" else ""
+        known, new, lead = self.known, self.new, " " if self.kind == "bytes" else ""
         if len(known) > CUTS_KEPT:
             known.clear()
+        if len(new) > CUTS_NEW:
+            new.clear()
         found = list(map(known.get, cuts))
-        holes = [i for i, x in enumerate(found) if x is None]
+        holes = []
+        for i, x in enumerate(found):
+            if x is None:
+                c = cuts[i]
+                if (x := new.get(c)) is None:
+                    holes.append(i)
+                else:
+                    found[i] = known[c] = x
         for some in batched(holes, 50_000):
             ids = self._encode([lead + cuts[i] for i in some])
             for i, x in zip(some, ids, strict=True):
                 c = cuts[i]
                 if lead and (not c or c[-1].isspace()):
                     continue
-                found[i] = known[c] = x
+                found[i] = new[c] = x
         return found
 
     def _runs(self, texts: list[str]) -> list[bytes]:

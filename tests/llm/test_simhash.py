@@ -110,3 +110,11 @@ def test_one_per_group_keeps_columns(spark):
     kept = simhash.one_per_group(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_one_per_group_with_repeated_and_null_ids(spark):
+    rows = [(5, "a b c", ""), (5, "a b c", ""), (5, "q r s t u", ""), (7, "a b c", ""), (None, "a b c", "")]
+    rows += [(None, "lone words here", "x"), (None, "lone words here", "y"), (9, None, ""), (10, "", "")]
+    kept = simhash.one_per_group(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or -1) for r in kept) == [-1, 5, 9]
+    assert [r.text for r in kept if r.doc_id is None] == ["lone words here"]

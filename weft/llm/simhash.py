@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.llm.common import Workspace, bounded_batches, connected_components
 
@@ -112,27 +113,55 @@ def links(values: DataFrame) -> DataFrame:
     return met.select(F.array_min("all").alias("v"), F.explode("all").alias("u")).where("u <> v").distinct()
 
 
-def near_duplicates(
+def groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, work: Workspace | None = None
-) -> DataFrame:
-    """One row per input row: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id in its group)."""
-    spark = docs.sparkSession
-    work = work or Workspace(spark, "simhash")
+) -> tuple[DataFrame, DataFrame]:
+    """((id_col, fp) of every row, (fp, root, component_id) of every distinct fingerprint)."""
+    work = work or Workspace(docs.sparkSession, "simhash")
     fps = work.save(fingerprints(docs, id_col, text_col, words), "fps")
     values = work.save(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "values")
     roots = work.save(connected_components(links(values.select("fp")), work), "roots")
-    rooted = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    rooted = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(groups, "fp").select(
+    return fps, rooted.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, work: Workspace | None = None
+) -> DataFrame:
+    """One row per input row: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id in its group)."""
+    fps, found = groups(docs, id_col, text_col, words, work)
+    return fps.join(found.drop("root"), "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their near-duplicate group, columns unchanged."""
-    groups = near_duplicates(docs, id_col, text_col, words)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of ``docs`` for each near-duplicate group, columns unchanged: that of the smallest id.
+
+    Of rows that repeat that id the one with the smallest hash of its text
+    stays; of a group without ids likewise. Texts are only shuffled where ids
+    are null or repeat.
+    """
+    fps, found = groups(docs, id_col, text_col, words)
+    first = found.select(F.col("component_id").alias("__kept")).where("__kept is not null").distinct()
+    again = fps.groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("n")).where("n > 1 and __again is not null").select("__again")
+    kept = docs.join(first, docs[id_col] == F.col("__kept"), "left_semi")
+    single = kept.join(again, kept[id_col] == F.col("__again"), "left_anti")
+    order = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    several = kept.join(again, kept[id_col] == F.col("__again"), "left_semi").withColumn(
+        "__r", F.row_number().over(Window.partitionBy(id_col).orderBy(order))
+    )
+    nameless = docs.where(F.col(id_col).isNull())
+    marked = nameless.join(
+        _with_roots(nameless, found, text_col, words), F.coalesce(F.col(text_col).cast("string"), F.lit("")) == F.col("__text")
+    ).withColumn("__r", F.row_number().over(Window.partitionBy("__root").orderBy(order)))
+    return single.unionByName(several.where("__r = 1").drop("__r")).unionByName(marked.where("__r = 1").select(*docs.columns))
+
+
+def _with_roots(rows: DataFrame, found: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(__text, __root) of the distinct texts of rows without an id whose group has no id at all."""
+    texts = rows.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).distinct()
+    own = fingerprints(texts.withColumn("__id", F.col("__text")), "__id", "__text", words)
+    nobody = found.where("component_id is null").select("fp", F.col("root").alias("__root"))
+    return own.join(nobody, "fp").select(F.col("__id").alias("__text"), "__root")

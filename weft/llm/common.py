@@ -82,8 +82,6 @@ def ordered_buckets(df: DataFrame, key: str, rows: int, most: int = 2000) -> Col
     bounds = sorted({int(b) for b in bounds or []})
     if not bounds:
         return F.lit(0)
-    # width_bucket over an array is a binary search inside generated code where
-    # available; a plain HOF over 2000 bounds would be a scan per row.
     return _search(F.col(key), bounds)
 
 

@@ -49,16 +49,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = winnow.edited_next(_read(spark, sf_dir, "documents"))
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        winnow.digest(F.col("choices")).alias("fingerprint"),
-        winnow.digest(F.col("edited_choices")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
-    )
+    rows = winnow.edited_next(_read(spark, sf_dir, "documents"), of_choices=winnow.digest)
+    return rows.withColumnsRenamed({"choices": "fingerprint", "edited_choices": "edited_fingerprint"})
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ shorter than a full window the smallest of what it has; null counts as
 empty; the empty text has an empty fingerprint, which is alike (1.0) to
 another empty one and to nothing else (0.0); positions are in code points
 and must stay below 2^32; repeated rows and null ids are kept, null ids
-sort first and equal ids by text; an empty table gives an empty result;
+sort first and equal ids by the hash of their text; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -138,21 +138,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), unpacked(packed(text)).alias("fingerprint"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of the hashes of two packed fingerprints."""
-    def hashes(x: Column) -> Column:
-        return F.array_distinct(F.transform(x, lambda v: _hash(v)))
+def hashes(choices: Column) -> Column:
+    """The distinct hashes of packed choices."""
+    return F.array_distinct(F.transform(choices, lambda v: _hash(v)))
 
-    def ratio(x: Column, y: Column) -> Column:
-        return _let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(x) + F.size(y) - n))
 
-    both = _let(hashes(a), lambda x: _let(hashes(b), lambda y: ratio(x, y)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two arrays of distinct hashes."""
+    ratio = _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(ratio)
 
 
-def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_next(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    of_choices: Callable[[Column], Column] = lambda choices: choices,
+) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness to each other and to the next text.
 
+    ``of_choices`` is what to return of the packed choices, for instance a
+    digest; what it leaves out is not carried through the last window.
+
     The next document is the following one by id; after the last comes the
     first. Rows are put in buckets of the id order, and the first row of a
     bucket is copied to the one before, so each bucket is worked off alone.
@@ -181,10 +188,11 @@ def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .select("id", "text", F.explode(places).alias("p"))
             .select("id", "text", "p.b", "p.copy")
         )
-    order = Window.partitionBy("b").orderBy("copy", F.col("id").asc_nulls_first(), "text")
+    order = Window.partitionBy("b").orderBy("copy", F.col("id").asc_nulls_first(), "text_hash")
     overlap = K + WINDOW - 2
     rows = (
-        moved.withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
+        moved.withColumn("text_hash", F.xxhash64("text"))
+        .withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
         .withColumn("n", F.char_length("text"))
         .withColumn("kept", F.col("n") - F.expr("n div 4").cast("int"))
         .withColumn("put", F.substring(F.col("next_text"), F.lit(1), F.expr("n div 4").cast("int")))
@@ -208,18 +216,30 @@ def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .withColumn("edited_sha256", F.sha2(F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), F.col("put")).cast("binary"), 256))
         .withColumn("print", F.array_distinct(F.concat("head", "old")))
         .withColumn("edited_print", F.array_distinct(F.concat("head", "new")))
-        .select("id", "text", "b", "copy", "n", "edited_sha256", "print", "edited_print")
-        .withColumn("next_print", F.lead("print").over(order))
+        .withColumn("own", hashes(F.col("print")))
+        .select(
+            "id",
+            "text_hash",
+            "b",
+            "copy",
+            "n",
+            "edited_sha256",
+            of_choices(F.col("print")).alias("choices"),
+            of_choices(F.col("edited_print")).alias("edited_choices"),
+            _let(hashes(F.col("edited_print")), lambda edited: likeness(F.col("own"), edited)).alias("near_edited"),
+            "own",
+        )
+        .withColumn("next", F.lead("own").over(order))
         .where("copy = 0")
     )
     return rows.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
-        F.col("print").alias("choices"),
-        F.col("edited_print").alias("edited_choices"),
-        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        "choices",
+        "edited_choices",
+        "near_edited",
+        likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
 
 

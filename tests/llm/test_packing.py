@@ -29,6 +29,17 @@ def test_ids_equal_the_library(which, text):
     assert got == LIBS[which].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("which", [0, 1])
+@settings(max_examples=400, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from("abA1.,  \n'²éİ"), max_size=30))
+def test_ids_equal_the_library_around_stops(which, text):
+    own = tokens.ids(PATHS[which])
+    own.known.clear()
+    for _ in range(2):
+        got = np.frombuffer(own.encode([text])[0], "<u4").tolist()
+        assert got == LIBS[which].encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), max_size=4), st.integers(0, 20))
 def test_fullest_is_the_best_subset(counts, room):

@@ -106,14 +106,20 @@ def _slots(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
 
 
 def pieces(
-    docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    end_id: int,
+    capacity: int = CAPACITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    kept: int = tokens.CUTS_KEPT,
 ) -> DataFrame:
-    """Every piece with its task and its rank among that task's pieces of its length."""
+    """Every piece with its task and its rank among that task's pieces of its length; ``kept``: cuts a worker remembers."""
     bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = tokens.ids(path), TaskContext.get().partitionId()
+        encoder, task = tokens.ids(path, kept), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in tokens.grouped(batches):
             texts = batch.column(1).fill_null("")
@@ -156,12 +162,13 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     work: Workspace | None = None,
+    kept: int = tokens.CUTS_KEPT,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id and offset in that sequence."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "packing")
     # written before ranks are used: a task that ran again would commit once
-    found = work.save(pieces(docs, path, end_id, capacity, id_col, text_col), "pieces")
+    found = work.save(pieces(docs, path, end_id, capacity, id_col, text_col, kept), "pieces")
     per_task = found.groupBy("task", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = per_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))

@@ -28,9 +28,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Cuts remembered by a worker, at about 220 bytes each: those met again, and the latest ones.
-CUTS_KEPT, CUTS_NEW = 700_000, 300_000
-
+#: Cuts remembered by a worker before it starts anew, at about 220 bytes each.
+CUTS_KEPT = 1_300_000
 #: Bytes of texts whose cuts are looked up together.
 GROUP_BYTES = 6_000_000
 
@@ -40,7 +39,8 @@ _RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 class Ids:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = CUTS_KEPT):
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -57,34 +57,49 @@ class Ids:
                 self.kind = "white"
         #: Of a byte-level model, the ids of a space and the cut.
         self.known: dict[str, bytes] = {}
-        self.new: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids_of(self, cuts: list[str]) -> list[bytes | None]:
-        """The ids of distinct cuts, of a byte-level model with a space before each; None where none may end."""
-        known, new, lead = self.known, self.new, " " if self.kind == "bytes" else ""
-        if len(known) > CUTS_KEPT:
+        """The ids of distinct cuts, of a byte-level model with a space before each; None where none may end.
+
+        Letters and digits are other pre-tokens than the full stops and
+        commas after them, so those are encoded apart; a model that lowers
+        letters has the same ids for a cut's lower case (asked of ASCII only).
+        """
+        known, lead, lower = self.known, " " if self.kind == "bytes" else "", self.kind == "white"
+        if len(known) > self.kept:
             known.clear()
-        if len(new) > CUTS_NEW:
-            new.clear()
         found = list(map(known.get, cuts))
-        holes = []
+        later: list[tuple[int, str, str]] = []
         for i, x in enumerate(found):
             if x is None:
                 c = cuts[i]
-                if (x := new.get(c)) is None:
-                    holes.append(i)
+                key = c.rstrip(".,")
+                # lowering some letters adds marks, which would join the stops
+                if len(key) == len(c) or not (key.isalnum() and (key.isascii() or key.lower().isalnum())):
+                    key = c
+                stop = c[len(key) :]
+                if lower and key.isascii():
+                    key = key.lower()
+                if stop and stop not in self.stops:
+                    self.stops[stop] = self._encode([stop])[0]
+                if (ids := known.get(key)) is None:
+                    later.append((i, key, stop))
                 else:
-                    found[i] = known[c] = x
-        for some in batched(holes, 50_000):
-            ids = self._encode([lead + cuts[i] for i in some])
-            for i, x in zip(some, ids, strict=True):
-                c = cuts[i]
-                if lead and (not c or c[-1].isspace()):
-                    continue
-                found[i] = new[c] = x
+                    found[i] = ids + self.stops[stop] if stop else ids
+        for some in batched({key for _, key, _ in later}, 50_000):
+            known.update(zip(some, self._encode([lead + k for k in some]), strict=True))
+        for i, key, stop in later:
+            found[i] = known[key] + self.stops[stop] if stop else known[key]
+        if lead:
+            for key in {key for _, key, _ in later if not key or key[-1].isspace()}:
+                del known[key]
+            for i, key, _ in later:
+                if not key or key[-1].isspace():
+                    found[i] = None
         return found
 
     def _runs(self, texts: list[str]) -> list[bytes]:
@@ -144,5 +159,5 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Itera
 
 
 @lru_cache(maxsize=2)
-def ids(path: str) -> Ids:
-    return Ids(path)
+def ids(path: str, kept: int = CUTS_KEPT) -> Ids:
+    return Ids(path, kept)

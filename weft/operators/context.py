@@ -109,6 +109,22 @@ def score_spread(rows: DataFrame, scores: list[str]) -> DataFrame:
     )
 
 
+def uncertain(p: Column, low: float = 0.003, high: float = 0.997) -> Column:
+    """The band of scores that later stages look at again."""
+    return p.between(low, high)
+
+
+def entity_features(edges: DataFrame, p: str = "p", left: str = "i1", right: str = "i23") -> DataFrame:
+    """One row per entity for a model of empty lists: the three best scores (0 if absent), their sum, counts and list size."""
+    best = top(edges, [left], [F.desc(p), F.col(right)], 3).groupBy(left).agg(
+        *[F.coalesce(F.max(F.when(F.col("rank") == k, F.col(p))), F.lit(0.0)).alias(f"t{k}") for k in (1, 2, 3)]
+    )
+    counts = edges.groupBy(left).agg(
+        F.sum(p).alias("psum"), F.count_if(F.col(p) >= 0.5).alias("n05"), F.count_if(F.col(p) >= 0.8).alias("n08"), F.count("*").alias("ncand")
+    )
+    return best.join(counts, left)
+
+
 def closure(edges: DataFrame, wanted: DataFrame, known: DataFrame, rank: str = "blk_rev_rank", k: int = 3, left: str = "i1", right: str = "i23") -> DataFrame:
     """Edges of the wanted entities, with the ``k`` best claims on the records in any wanted or known list, less the known entities' own."""
     lists = edges.join(wanted.select(left).unionByName(known.select(left)).distinct(), left, "left_semi").select(right).distinct()
@@ -118,5 +134,5 @@ def closure(edges: DataFrame, wanted: DataFrame, known: DataFrame, rank: str = "
 
 
 __all__ = [
-    "adaptive_lists", "best_other", "closure", "competition", "entropy_term", "list_features", "rerank_features", "score_spread", "top",
+    "adaptive_lists", "best_other", "closure", "competition", "entity_features", "entropy_term", "list_features", "rerank_features", "score_spread", "top", "uncertain",
 ]

@@ -158,3 +158,18 @@ def grid(edges: DataFrame, truth: DataFrame, n_entities: int, thresholds: list[f
         5 * F.col("tp") / (5 * F.col("tp") + F.col("n_true") - F.col("tp") + 4 * (F.col("n") - F.col("tp")))
     )
     return rows.groupBy("threshold").agg(((F.sum(f) + (n_entities - F.count("*"))) / n_entities).alias("macro_f05"))
+
+
+def tune(
+    edges: DataFrame, truth: DataFrame, n_entities: int, margins: tuple = (0.0, 0.05, 0.1, 0.2), penalties: tuple = (1.0, 0.9, 0.75),
+    thresholds: tuple = tuple(round(0.3 + 0.05 * i, 2) for i in range(14)),
+) -> DataFrame:
+    """(margin, penalty, threshold, macro F0.5) of every rule; without a margin the penalty has no effect and is left out."""
+    rules = None
+    for m in margins:
+        for q in penalties if m else (1.0,):
+            one = grid(exclusive(edges, m, q), truth, n_entities, list(thresholds)).select(
+                F.lit(m).alias("margin"), F.lit(q).alias("penalty"), "threshold", "macro_f05"
+            )
+            rules = one if rules is None else rules.unionByName(one)
+    return rules

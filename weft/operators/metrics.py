@@ -54,3 +54,24 @@ def bootstrap(scores: DataFrame, a: str, b: str, key: str, rounds: int = 200) ->
     means = rounds_.withColumn("w", draw(F.col("round"))).groupBy("round").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
     spread = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return scores.agg(F.avg(diff).alias("mean")).join(F.broadcast(spread))  # one row each
+
+
+def cluster_quality(clustered: DataFrame, truth: DataFrame) -> DataFrame:
+    """(purity, completeness) of pairs of records: (node, comp) against (node, entity), from sizes alone."""
+    def pairs(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg((F.count("*") * (F.count("*") - 1) / 2).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"))
+
+    both = clustered.join(truth, "node")
+    one, two, three = pairs(both, "comp", "entity"), pairs(both, "comp"), pairs(both, "entity")
+    rows = one.withColumnRenamed("p", "same").join(F.broadcast(two.withColumnRenamed("p", "built"))).join(F.broadcast(three.withColumnRenamed("p", "true")))
+    return rows.select(F.try_divide("same", "built").alias("purity"), F.try_divide("same", "true").alias("completeness"))  # one row each
+
+
+def shift(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, mean_before, mean_after, shift): the change of a mean in standard deviations of before."""
+    def stats(rows: DataFrame, name: str) -> DataFrame:
+        one = rows.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns])
+        return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["m"].alias(f"mean_{name}"), F.col(c)["s"].alias(f"std_{name}")) for c in columns])).alias("x")).select("x.*")
+
+    rows = stats(before, "before").join(stats(after, "after"), "feature")
+    return rows.select("feature", "mean_before", "mean_after", F.try_divide(F.col("mean_after") - F.col("mean_before"), F.col("std_before")).alias("shift"))

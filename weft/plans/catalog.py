@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weft.functions import similarity as S
 from weft.functions import text as X
 from weft.operators import blocking, compare, context, decide, dense, em, enrich, graph, metrics, mining, models, parse, validate
-from weft.plans import link
+from weft.plans import block, link
 from weft.sources import records as R
 from weft.sources import sinks
 from weft.streaming import incremental
@@ -717,6 +717,53 @@ def bootstrap_interval(spark, sf):
     return metrics.bootstrap(scores, "f05", "zero", "i1")
 
 
+@_query(f"""WITH {_EDGES}, {_RANKED}, s AS (SELECT i1, sum(p) AS psum, count(*) FILTER (p >= 0.5) AS n05, count(*) FILTER (p >= 0.8) AS n08, count(*) AS ncand FROM edges GROUP BY 1),
+t AS (SELECT i1, max(p) FILTER (r = 1) AS t1, coalesce(max(p) FILTER (r = 2), 0) AS t2, coalesce(max(p) FILTER (r = 3), 0) AS t3 FROM ranked GROUP BY 1)
+SELECT i1, t1, t2, t3, round(psum, 6) AS psum, n05, n08, ncand FROM s JOIN t USING (i1)""")
+def entity_features(spark, sf):
+    rows = context.entity_features(R.scored_edges(spark, sf))
+    return rows.select("i1", "t1", "t2", "t3", _r("psum", "psum"), "n05", "n08", "ncand")
+
+
+@_query(f"""WITH {_EDGES}, {_RANKED}, {_TRUTH}, h AS (SELECT r FROM ranked JOIN truth USING (i1, i23)), t AS (SELECT count(*) AS n FROM truth),
+c AS (SELECT g.n, (SELECT count(*) FROM h WHERE r <= g.n) / t.n AS completeness FROM (SELECT unnest([50, 60, 80]) AS n) g, t)
+SELECT n, round(completeness, 6) AS completeness, n = (SELECT min(n) FROM c WHERE completeness >= (SELECT max(completeness) FROM c) - 0.002) AS chosen FROM c""")
+def list_length_choice(spark, sf):
+    ranked = blocking.top(R.scored_edges(spark, sf), ["i1"], [F.desc("p"), F.col("i23")], 1 << 30)
+    return block.smallest_length(ranked, _truth(spark, sf)).select("n", _r("completeness", "completeness"), "chosen")
+
+
+@_query("""WITH b AS (SELECT o_custkey AS comp, o_orderstatus || (o_custkey % 50) AS entity FROM orders), p AS (SELECT count(*) * (count(*) - 1) / 2 AS p FROM b GROUP BY comp, entity),
+q AS (SELECT count(*) * (count(*) - 1) / 2 AS p FROM b GROUP BY comp), r AS (SELECT count(*) * (count(*) - 1) / 2 AS p FROM b GROUP BY entity)
+SELECT round((SELECT sum(p) FROM p) / (SELECT sum(p) FROM q), 6) AS purity, round((SELECT sum(p) FROM p) / (SELECT sum(p) FROM r), 6) AS completeness""")
+def cluster_quality(spark, sf):
+    orders = R.table(spark, sf, "orders")
+    entity = F.concat("o_orderstatus", (F.col("o_custkey") % 50).cast("string"))
+    found = metrics.cluster_quality(
+        orders.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("comp")), orders.select(F.col("o_orderkey").alias("node"), entity.alias("entity"))
+    )
+    return found.select(_r("purity", "purity"), _r("completeness", "completeness"))
+
+
+@_query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, round(avg({c}) FILTER (l_returnflag = 'R'), 4) AS mean_before, round(avg({c}) FILTER (l_returnflag = 'A'), 4) AS mean_after,
+round((avg({c}) FILTER (l_returnflag = 'A') - avg({c}) FILTER (l_returnflag = 'R')) / stddev_samp({c}) FILTER (l_returnflag = 'R'), 6) AS shift FROM lineitem"""
+        for c in ("l_quantity", "l_extendedprice")
+    )
+)
+def shift_monitor(spark, sf):
+    lines = R.table(spark, sf, "lineitem")
+    rows = metrics.shift(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), ["l_quantity", "l_extendedprice"])
+    return rows.select("feature", F.round("mean_before", 4).alias("mean_before"), F.round("mean_after", 4).alias("mean_after"), _r("shift", "shift"))
+
+
+@_query()
+def rule_tuning(spark, sf):
+    n = R.table(spark, sf, "supplier").count()
+    return decide.tune(R.scored_edges(spark, sf), _truth(spark, sf), n, (0.0, 0.1), (1.0, 0.9), _GRID)
+
+
 # Fellegi-Sunter and scorers.
 
 _LEVELS = {"price": 5, "quantity": 4, "flag": 3}
@@ -807,9 +854,7 @@ def record_parser(spark, sf):
     return parse.parse_records(R.document_records(spark, sf)).select("entity_id", "cty", *parse.FIELDS)
 
 
-@_query()
-def part_features(spark, sf):
-    """Names of parts with a shared word and brand, parsed, enriched and compared."""
+def _enriched_parts(spark, sf) -> DataFrame:
     rows = R.table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("cty"), F.col("p_name").alias("business_name"), F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("main street")).alias("business_address")
     )
@@ -822,6 +867,20 @@ def part_features(spark, sf):
     for value, kind in (("k_sorted", "core"), ("anchor", "addr")):
         for side in ("s1", "s23"):
             parsed = graph.cut(enrich.with_frequency(parsed, parsed, value, f"f_{kind}_{side}"))
+    return parsed
+
+
+@_query()
+def multi_pass_blocking(spark, sf):
+    """Parts against all parts of their brand by five passes, the reverse pass and duplicate mates."""
+    parts = _enriched_parts(spark, sf)
+    return block.block(parts, parts).select("cty", "i1", "i23", *block.FEATURES)
+
+
+@_query()
+def part_features(spark, sf):
+    """Parts of one brand with the same words, compared by all features."""
+    parsed = _enriched_parts(spark, sf)
     same = blocking.duplicate_groups(parsed, "id", F.col("k_sorted"), 2, 40)
     pairs = same.select("cty", "gid", F.col("id").alias("i1")).join(same.select("cty", "gid", F.col("id").alias("i23")), ["cty", "gid"]).where("i1 < i23").select("i1", "i23")
     return compare.compare(pairs, parsed.withColumnRenamed("id", "i1"), parsed.withColumnRenamed("id", "i23"))

@@ -165,7 +165,7 @@ def write(docs: DataFrame, path: str, end_id: int, work: Workspace, id_col: str
     again = work.save(found.join(first, "digest").where("place <> keep").select("place"), "again")
     again = F.broadcast(again) if again.count() <= BROADCAST else again
     whole = written(("digests", "digest"), ("data", "ids"), ("places", "place"))
-    work.save(whole.join(again, "place", "left_anti").select("digest", "ids"), "store/chunks")
+    work.save(whole.join(again, "place", "left_anti").select("digest", "ids"), "store/chunks", "lz4")
     recipes = rows.drop("data", "places")
     order = [F.col("id").asc_nulls_first(), F.col("root")]
     placed = running_start(recipes, ordered_buckets(recipes.select("id"), "id", PART_ROWS), order, "n_tokens", "start", "part")

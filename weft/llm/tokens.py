@@ -29,7 +29,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Cuts remembered by a worker before it starts anew, at about 220 bytes each.
-CUTS_KEPT = 1_300_000
+CUTS_KEPT = 1_500_000
 #: Bytes of texts whose cuts are looked up together.
 GROUP_BYTES = 6_000_000
 
@@ -90,7 +90,12 @@ class Ids:
                     later.append((i, key, stop))
                 else:
                     found[i] = ids + self.stops[stop] if stop else ids
-        for some in batched({key for _, key, _ in later}, 50_000):
+        new = {key for _, key, _ in later}
+        # a word of ASCII letters is one pre-token, its bytes stand for themselves: straight to the model
+        word, mark = self.tokenizer.model.tokenize, "Ġ" if lead else ""
+        letters = [k for k in new if k.isascii() and k.isalpha()]
+        known.update([(k, array("I", [t.id for t in word(mark + k)]).tobytes()) for k in letters])
+        for some in batched(new.difference(letters), 50_000):
             known.update(zip(some, self._encode([lead + k for k in some]), strict=True))
         for i, key, stop in later:
             found[i] = known[key] + self.stops[stop] if stop else known[key]

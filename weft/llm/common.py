@@ -40,11 +40,19 @@ class Workspace:
 
     A written table cuts the lineage as a reliable checkpoint does: it
     survives the loss of any executor, is compressed, and is computed once.
+    Without a ``root`` of its own the folder goes when the session's process
+    ends; until then results that read it stay valid.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex[:12]}"
+        self.root = root or f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex[:12]}"
+        if root is None:
+            path = self._path("")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -56,8 +64,7 @@ class Workspace:
 
     def drop(self, name: str = "") -> None:
         """Delete one table, or with no name everything of this run."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        path = self._path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

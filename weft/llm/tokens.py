@@ -28,8 +28,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Cuts remembered by a worker before it starts anew, at about 220 bytes each.
-CUTS_KEPT = 1_500_000
+#: Cuts remembered by a worker before it starts anew, at about 220 bytes each;
+#: with those of one batch more it stays below the size at which the table doubles.
+CUTS_KEPT = 1_200_000
 #: Bytes of texts whose cuts are looked up together.
 GROUP_BYTES = 6_000_000
 

@@ -42,7 +42,8 @@ ETA = 4.0
 ROUNDS = 6
 ROWS = 8192
 QUERIES = 1024
-KEPT = 128
+#: Candidates of a block that are scored exactly: near copies differ by less than codes can tell.
+KEPT = 1024
 
 
 def _pad(x: np.ndarray) -> np.ndarray:
@@ -94,8 +95,8 @@ def packed(codes: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray) -> Quantiser:
-    """Centroids of a sample [n, d]."""
-    x = _pad(np.asarray(x, np.float64))
+    """Centroids of the distinct vectors of a sample [n, d]: copies of one must not take the centroids of others."""
+    x = _pad(np.unique(np.asarray(x, np.float64), axis=0))
     n, m = len(x), x.shape[1] // 2
     rng = np.random.default_rng(0)
     parts = x.reshape(n, m, 2)
@@ -142,21 +143,45 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
 def search_block(
     quantiser: Quantiser, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
 ) -> tuple[list, list, list]:
-    """(query ids, ids, exact scores) of each query's k best of a block whose ids ascend."""
-    columns = np.ascontiguousarray(codes.T)
+    """(query ids, ids, exact scores) of each query's k best of a block whose ids ascend.
+
+    Equal vectors are searched as one, so copies never take the places of
+    other candidates; of each, the k + 1 smallest ids can be in a result.
+    """
+    rows = np.ascontiguousarray(vectors)
+    same = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+    _, first, which = np.unique(same, return_index=True, return_inverse=True)
+    order = np.argsort(first)  # distinct vectors by their smallest id
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    which, first = place[which], first[order]
+    members = ids[np.argsort(which, kind="stable")]
+    counts = np.bincount(which)
+    starts = np.cumsum(counts) - counts
+    counts = np.minimum(counts, k + 1)
+    own = rows[first].astype(np.float64)
+    columns = np.ascontiguousarray(codes[first].T)
     out: tuple[list, list, list] = ([], [], [])
     for query_id, q in zip(query_ids, queries, strict=True):
         tables = quantiser.tables(q)
         scores = tables[0].take(columns[0])
         for table, column in zip(tables[1:], columns[1:], strict=True):
             scores += table.take(column)
-        near = best(scores, max(KEPT, k) + 1)
-        near = near[ids[near] != query_id]
-        exact = (vectors[near].astype(np.float64) * q.astype(np.float64)).sum(1)
-        first = np.lexsort((ids[near], -exact))[:k]
-        out[0].append(np.full(len(first), query_id))
-        out[1].append(ids[near][first])
-        out[2].append(exact[first])
+        near = best(scores, max(KEPT, k + 1))
+        exact = (own[near] * q.astype(np.float64)).sum(1)
+        ranked = np.argsort(-exact, kind="stable")
+        near, exact = near[ranked], exact[ranked]
+        enough = np.searchsorted(np.cumsum(counts[near]), k + 1)
+        if enough < len(near):
+            upto = np.searchsorted(-exact, -exact[enough], "right")  # with all that tie with the last one needed
+            near, exact = near[:upto], exact[:upto]
+        found = np.concatenate([members[starts[i] : starts[i] + counts[i]] for i in near])
+        values = np.repeat(exact, counts[near])
+        values, found = values[found != query_id], found[found != query_id]
+        first_ones = np.lexsort((found, -values))[:k]
+        out[0].append(np.full(len(first_ones), query_id))
+        out[1].append(found[first_ones])
+        out[2].append(values[first_ones])
     return out
 
 

@@ -31,7 +31,7 @@ from weft.llm.labelled import training_rows
 BITS = 18
 LENGTHS = 4
 #: Labelled rows of each class that the model is fitted on.
-MOST_ROWS = 2500
+MOST_ROWS = 2000
 COST = 1.0
 EPOCHS = 10
 KEEP_FROM = 0.3
@@ -111,7 +111,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float) -> Model:
         (good if label else bad)[x] += 1
     ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
     norm = [np.sqrt((ratio[x] ** 2).sum() + 1.0) for x in rows]
-    scaled = [ratio[x] / n for x, n in zip(rows, norm, strict=True)]
+    scaled = [(ratio[x] / n).astype(np.float32) for x, n in zip(rows, norm, strict=True)]
     sign = np.where(y > 0, 1.0, -1.0)
     w, bias, dual = np.zeros(size), 0.0, np.zeros(len(y))
     order = np.random.default_rng(0)

@@ -227,9 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     phrases = PHRASES + tuple(sorted(p for p, k in fine.items() if k >= 3 and p not in bad))
     rows.sort(key=lambda r: (r["y"], r["x"]))
     y, x = np.array([r["y"] for r in rows], float), np.array([r["x"] for r in rows])
+    # both classes count alike: toxic documents are few, and missing one costs more
     slope, shift = quality._curve(x, y)
-    shift += odds - math.log(n[1] / n[0])
-    return Lexicon(entries, phrases, slope, shift)
+    return Lexicon(entries, phrases, slope, shift - math.log(n[1] / n[0]))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from tokenizers import Tokenizer  # noqa: E402
 #: with those of one batch more it stays below the size at which the table doubles.
 CUTS_KEPT = 1_200_000
 #: Bytes of texts whose cuts are looked up together.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 9_000_000
 
 _RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 
@@ -160,6 +160,7 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Itera
         if sum(b.nbytes for b in held) >= size:
             yield pa.concat_batches(held)
             held = []
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_batches(held)
 

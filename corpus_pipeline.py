@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, quality, simhash, toxicity
+from weft.llm import copies, packing, quality, toxicity
 from weft.llm.common import Workspace
 
 
@@ -27,8 +27,8 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group of near copies the document with the smallest id stays."""
-    return simhash.one_per_group(docs)
+    """Operator 10 at its own threshold: of documents at least 0.8 alike in five-word shingles that of the smallest id stays."""
+    return copies.one_per_group(docs)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

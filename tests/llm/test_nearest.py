@@ -85,3 +85,17 @@ def test_codes_lower_the_anisotropic_loss():
 def test_best_prefers_the_first_of_equals():
     assert nearest.best(np.array([1, 3, 3, 3, 0.0]), 2).tolist() == [1, 2]
     assert nearest.best(np.array([5.0]), 3).tolist() == [0]
+
+
+def test_a_third_of_near_copies_is_searched_whole():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8192, 64))
+    x[: 8192 // 3] = x[0] + rng.normal(scale=1e-3, size=(8192 // 3, 64))
+    x = rng.permutation(x)
+    ids = np.arange(len(x))
+    q = nearest.fit(x)
+    asked = ids[::200]
+    got = nearest.search_block(q, ids, nearest.packed(q.encode(x)), x, asked, x[asked], 20)
+    for i, query in enumerate(asked):
+        s = (x * x[query]).sum(1)
+        assert got[1][i].tolist() == [j for j in np.lexsort((ids, -s)) if j != query][:20]

@@ -7,7 +7,9 @@ rest, as that part is what changes large inner products: codes by
 coordinate descent over the subspaces, centroids by one least-squares system
 over all of them. A search adds up table entries of the codes (two four-bit
 codes make one look-up), takes the ``KEPT`` best of a block and scores those
-exactly on the original vectors in double precision.
+exactly on the original vectors in double precision; then, in chunks, every
+other vector whose code score lies within its residual's bound of the k-th best
+exact score, however many there are. So a block's result is exact.
 
 The centroids are fitted on at most ``SAMPLE`` vectors, those with the
 smallest hash of their id; every vector is indexed. Queries are searched
@@ -42,7 +44,7 @@ ETA = 4.0
 ROUNDS = 6
 ROWS = 8192
 QUERIES = 1024
-#: Candidates of a block that are scored exactly: near copies differ by less than codes can tell.
+#: Candidates of a block that are scored exactly at first, and of each chunk after that.
 KEPT = 1024
 
 
@@ -83,6 +85,13 @@ class Quantiser:
                 along[:, s] = new
         return codes
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors [n, padded dimensions] of packed codes."""
+        out = np.empty((len(codes), len(self.centroids), 2))
+        for s in range(len(self.centroids)):
+            out[:, s] = self.centroids[s][codes[:, s // 2] >> 4 * (s % 2) & 15]
+        return out.reshape(len(codes), -1)
+
     def tables(self, query: np.ndarray) -> np.ndarray:
         """[subspaces / 2, 256]: the inner products of a byte of two codes."""
         own = np.einsum("scd,sd->sc", self.centroids, _pad(query[None])[0].reshape(-1, 2)).astype(np.float32)
@@ -161,14 +170,27 @@ def search_block(
     counts = np.minimum(counts, k + 1)
     own = rows[first].astype(np.float64)
     columns = np.ascontiguousarray(codes[first].T)
+    known = quantiser.decode(codes[first])
+    # a code score differs from the exact one by at most this times the query's length: residual, and rounding of the tables' sum
+    slack = np.linalg.norm(_pad(own) - known, axis=1) + 1e-6 * len(columns) * np.linalg.norm(known, axis=1)
     out: tuple[list, list, list] = ([], [], [])
     for query_id, q in zip(query_ids, queries, strict=True):
         tables = quantiser.tables(q)
         scores = tables[0].take(columns[0])
         for table, column in zip(tables[1:], columns[1:], strict=True):
             scores += table.take(column)
+        q = q.astype(np.float64)
         near = best(scores, max(KEPT, k + 1))
-        exact = (own[near] * q.astype(np.float64)).sum(1)
+        exact = (own[near] * q).sum(1)
+        if len(near) < len(own):
+            least = np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1]
+            open_ = scores + slack * np.linalg.norm(q) >= least
+            open_[near] = False
+            more = np.flatnonzero(open_)
+            chunks = [(own[more[at : at + KEPT]] * q).sum(1) for at in range(0, len(more), KEPT)]
+            near, exact = np.concatenate([near, more]), np.concatenate([exact, *chunks])
+            by_place = np.argsort(near)
+            near, exact = near[by_place], exact[by_place]
         ranked = np.argsort(-exact, kind="stable")
         near, exact = near[ranked], exact[ranked]
         enough = np.searchsorted(np.cumsum(counts[near]), k + 1)

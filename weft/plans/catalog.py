@@ -881,7 +881,7 @@ def multi_pass_blocking(spark, sf):
 def part_features(spark, sf):
     """Parts of one brand with the same words, compared by all features."""
     parsed = _enriched_parts(spark, sf)
-    same = blocking.duplicate_groups(parsed, "id", F.col("k_sorted"), 2, 40)
+    same = blocking.duplicate_groups(parsed, "id", F.col("k_sorted"), 2, 1 << 62)
     pairs = same.select("cty", "gid", F.col("id").alias("i1")).join(same.select("cty", "gid", F.col("id").alias("i23")), ["cty", "gid"]).where("i1 < i23").select("i1", "i23")
     return compare.compare(pairs, parsed.withColumnRenamed("id", "i1"), parsed.withColumnRenamed("id", "i23"))
 

@@ -105,16 +105,34 @@ def test_components_of_a_long_path(spark):
     assert got == {(i, 0) for i in range(201)} | {(900, 900), (901, 900)}
 
 
-def test_one_per_group_keeps_columns(spark):
-    df = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, "q r s t", "z")], DOCS)
-    kept = simhash.one_per_group(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
-
-
-def test_one_per_group_with_repeated_and_null_ids(spark):
-    rows = [(5, "a b c", ""), (5, "a b c", ""), (5, "q r s t u", ""), (7, "a b c", ""), (None, "a b c", "")]
-    rows += [(None, "lone words here", "x"), (None, "lone words here", "y"), (9, None, ""), (10, "", "")]
-    kept = simhash.one_per_group(spark.createDataFrame(rows, DOCS)).collect()
-    assert sorted((r.doc_id or -1) for r in kept) == [-1, 5, 9]
-    assert [r.text for r in kept if r.doc_id is None] == ["lone words here"]
+def test_wide_radius_tables_meet_with_certainty(spark):
+    """Every value within the radius of the stage shares a key, and the keys are those of the masks."""
+    import random
+
+    from weft.llm import copies
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randrange(copies.RADIUS + 1)):
+            b ^= 1 << bit
+        rows += [(i, 0, a - (1 << 64) if a >> 63 else a), (i, 1, b - (1 << 64) if b >> 63 else b)]
+    df = spark.createDataFrame(rows, "i long, side int, fp long")
+    keys = df.select("i", "side", simhash.covered(df.fp, copies.RADIUS).alias("k")).collect()
+    of = {(r.i, r.side): set(r.k) for r in keys}
+    assert all(len(k) == 2 ** (copies.RADIUS + 1) - 1 for k in of.values())
+    assert all(of[i, 0] & of[i, 1] for i in range(60))
+
+
+def test_word_fingerprint_counts_capped_words():
+    import xxhash
+
+    words = [b"a"] * 9 + [b"b"] * 2 + [b"c"]
+    want = 0
+    for bit in range(64):
+        on = sum(k for w, k in ((b"a", 4), (b"b", 2), (b"c", 1)) if xxhash.xxh64_intdigest(w, 42) >> bit & 1)
+        want |= (on * 2 > 7) << bit
+    assert simhash.word_fingerprint(words) == want
+    assert simhash.word_fingerprint([]) == 0

@@ -1,9 +1,11 @@
-"""Near-copy groups: five-word shingle sets of a Jaccard similarity of 0.8 or more.
-
-Rows with equal shingle sets are one node. Nodes meet in ``BANDS`` tables keyed
-by ``WIDTH`` minhashes each: a pair at similarity s shares a key with
-probability 1 - (1 - s^WIDTH)^BANDS, 0.9995 at 0.8 and more above. What meets
-is compared exactly, on the whole sets, so nothing below 0.8 is linked. A group
+"""Near-copy groups: operator 10 at a wider radius, then five-word shingle sets of a Jaccard similarity of 0.8 or more.
+
+Rows with equal shingle sets are one node. A node's SimHash is that of its
+words, each counted at most four times, so that the few words in which near
+copies differ turn few of the 64 bits. Nodes meet in the tables of the
+covering family of operator 10 for ``RADIUS`` bits: every pair within the
+radius shares a key, with certainty. What meets and is within the radius is
+compared exactly, on the whole sets, so nothing below 0.8 is linked. A group
 is a connected component of the links.
 
 Pairs of a bucket are not enumerated at once. A round compares its nodes with a
@@ -28,46 +30,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.llm import simhash
 from weft.llm.common import Workspace, bounded_batches, connected_components
 
 WORDS = 5
 LEAST = 0.8
-BANDS = 32
-WIDTH = 7
+#: Bits in which the SimHash values of near copies may differ.
+RADIUS = 6
 SEED = 42
 #: Shares of the nodes that are pivots, in 1/256, of the rounds after the first; the last one holds all.
 SHARES = (16, 256)
-#: Shingles whose minhashes are computed at once.
-BLOCK = 2048
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_RNG = np.random.default_rng(SEED)
-_XOR = _RNG.integers(0, 1 << 64, (BANDS * WIDTH, 1), np.uint64)
-_FACTOR = _RNG.integers(0, 1 << 64, (BANDS * WIDTH, 1), np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    digest = xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        return np.array([digest(b" ".join(tokens), SEED)] if tokens else [], np.uint64)
-    joined = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
-    return np.unique(np.fromiter((digest(s, SEED) for s in joined), np.uint64, len(tokens) - words + 1))
+    return shingles_of(words(text))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """BANDS signed 64-bit keys; none of an empty set."""
-    if not len(own):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), BLOCK):
-        mixed = own[None, at : at + BLOCK] ^ _XOR
-        mixed *= _FACTOR
-        np.minimum(least, mixed.min(1), out=least)
-    bands = least.reshape(BANDS, WIDTH)
-    keys = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)]
-    return np.array(keys, np.uint64).view(np.int64)
+def shingles_of(tokens: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    if len(tokens) <= WORDS:
+        return np.array([digest(b" ".join(tokens), SEED)] if tokens else [], np.uint64)
+    joined = map(b" ".join, zip(*(tokens[i:] for i in range(WORDS)), strict=False))
+    return np.unique(np.fromiter((digest(s, SEED) for s in joined), np.uint64, len(tokens) - WORDS + 1))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -77,7 +68,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, node, n, keys, own) of every row; ``th`` is the hash of its text, ``own`` its shingle set."""
+    """(id, th, node, n, fp, own) of every row; ``th`` is the hash of its text, ``fp`` its SimHash, ``own`` its shingle set."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -85,17 +76,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(2)]
+            split = [words(t.as_py()) for t in batch.column(2)]
+            sets = [shingles_of(w) for w in split]
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
+            fps = np.fromiter((simhash.word_fingerprint(w) for w in split), np.uint64, len(split))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array(fps.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                names=["id", "th", "node", "n", "keys", "own"],
+                names=["id", "th", "node", "n", "fp", "own"],
             )
 
-    return rows.mapInArrow(run, f"id {kind}, th bigint, node bigint, n int, keys array<bigint>, own binary")
+    return rows.mapInArrow(run, f"id {kind}, th bigint, node bigint, n int, fp bigint, own binary")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -117,14 +110,14 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(rows: DataFrame, work: Workspace) -> DataFrame:
     """(node, root) of the nodes that are linked to others."""
     spark = rows.sparkSession
-    every = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    met = work.save(every.select("node", "n", F.explode("keys").alias("key")), "met")
+    # word counts may differ in case of equal shingle sets, so the smallest value stands for a node
+    every = work.save(rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp")), "nodes")
+    met = every.select("node", F.explode(simhash.covered(F.col("fp"), RADIUS)).alias("key"))
     shared = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = work.save(met.join(shared.select("key"), "key", "left_semi"), "buckets")
-    work.drop("met")
+    buckets = work.save(met.join(shared.select("key"), "key", "left_semi").join(every, "node"), "buckets")
     wanted = buckets.select("node").distinct()
-    sets = rows.groupBy("node").agg(F.min("th").alias("th"), F.min("id").alias("id"))
-    first = sets.join(wanted, "node", "left_semi").select("node", "th", "id")
+    sets = rows.groupBy("node").agg(F.min(F.struct("th", "id")).alias("f"))
+    first = sets.join(wanted, "node", "left_semi").select("node", "f.th", "f.id")
     own = rows.select("node", "th", "id", "own").join(
         first, (rows["node"] == first["node"]) & (rows["th"] == first["th"]) & rows["id"].eqNullSafe(first["id"]), "left_semi"
     )
@@ -135,13 +128,14 @@ def components(rows: DataFrame, work: Workspace) -> DataFrame:
     for step, share in enumerate((None, *SHARES)):
         live = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if share is None:
-            pivots = live.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("p")).select("key", "p.*")
+            pivots = live.groupBy("key").agg(F.min(F.struct("node", "n", "fp", "root")).alias("p")).select("key", "p.*")
         else:
             open_ = live.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
             live = work.save(live.join(open_, "key", "left_semi"), f"live{step}")
-            pivots = live.where(F.pmod(F.xxhash64("node"), F.lit(256)) < share).select("key", "node", "n", "root")
-        pivots = pivots.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-        close = (F.col("root") != F.col("proot")) & (F.least("n", "pn") >= LEAST * F.greatest("n", "pn"))
+            pivots = live.where(F.pmod(F.xxhash64("node"), F.lit(256)) < share).select("key", "node", "n", "fp", "root")
+        pivots = pivots.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("fp").alias("pfp"), F.col("root").alias("proot"))
+        within = F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= RADIUS
+        close = (F.col("root") != F.col("proot")) & (F.least("n", "pn") >= LEAST * F.greatest("n", "pn")) & within
         pairs = live.join(pivots, "key").where(close).select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
@@ -158,7 +152,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row of ``docs`` for each group of near copies, columns unchanged: that of the smallest id, then text hash."""
     work = work or Workspace(docs.sparkSession, "copies")
     rows = work.save(signatures(docs, id_col, text_col), "rows")
-    roots = work.save(components(rows.select("id", "th", "node", "n", "keys", "own"), work), "roots")
+    roots = work.save(components(rows, work), "roots")
     nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("f"))
     firsts = (
         nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("f").alias("f"))

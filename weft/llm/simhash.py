@@ -26,14 +26,14 @@ not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weft.llm.common import Workspace, bounded_batches, connected_components
 
@@ -73,6 +73,30 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def word_fingerprint(tokens: list[bytes], most: int = 4) -> int:
+    """Unsigned 64-bit SimHash of single words, each counted at most ``most`` times: few bits change with a few words."""
+    if not tokens:
+        return 0
+    counts = Counter(tokens)
+    weights = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), most)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += weights[at : at + BLOCK] @ bits.astype(np.int64)
+    return int(np.packbits(total * 2 > weights.sum(), bitorder="little").view("<u8")[0])
+
+
+def covered(fp: Column, radius: int) -> Column:
+    """array<bigint>: a key of each covering table; values within ``radius`` bits have at least one in common."""
+    keys = [F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks(BITS, radius))]
+    return F.array(*keys)
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id_col, fp): the signed 64-bit view of each row's fingerprint."""
     bounded_batches(docs.sparkSession)
@@ -89,7 +113,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links(values: DataFrame) -> DataFrame:
     """Star edges (u, v) joining all distinct values ``fp`` within two bits of each other."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
+    signed = [_signed(m) for m in masks()]
     keys = values.select(
         "fp",
         F.explode(
@@ -134,34 +158,3 @@ def near_duplicates(
     return fps.join(found.drop("root"), "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """One row of ``docs`` for each near-duplicate group, columns unchanged: that of the smallest id.
-
-    Of rows that repeat that id the one with the smallest hash of its text
-    stays; of a group without ids likewise. Texts are only shuffled where ids
-    are null or repeat.
-    """
-    fps, found = groups(docs, id_col, text_col, words)
-    first = found.select(F.col("component_id").alias("__kept")).where("__kept is not null").distinct()
-    again = fps.groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("n")).where("n > 1 and __again is not null").select("__again")
-    kept = docs.join(first, docs[id_col] == F.col("__kept"), "left_semi")
-    single = kept.join(again, kept[id_col] == F.col("__again"), "left_anti")
-    order = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    several = kept.join(again, kept[id_col] == F.col("__again"), "left_semi").withColumn(
-        "__r", F.row_number().over(Window.partitionBy(id_col).orderBy(order))
-    )
-    nameless = docs.where(F.col(id_col).isNull())
-    marked = nameless.join(
-        _with_roots(nameless, found, text_col, words), F.coalesce(F.col(text_col).cast("string"), F.lit("")) == F.col("__text")
-    ).withColumn("__r", F.row_number().over(Window.partitionBy("__root").orderBy(order)))
-    return single.unionByName(several.where("__r = 1").drop("__r")).unionByName(marked.where("__r = 1").select(*docs.columns))
-
-
-def _with_roots(rows: DataFrame, found: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(__text, __root) of the distinct texts of rows without an id whose group has no id at all."""
-    texts = rows.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).distinct()
-    own = fingerprints(texts.withColumn("__id", F.col("__text")), "__id", "__text", words)
-    nobody = found.where("component_id is null").select("fp", F.col("root").alias("__root"))
-    return own.join(nobody, "fp").select(F.col("__id").alias("__text"), "__root")

@@ -89,3 +89,20 @@ def test_small_tables(spark):
     same = [(None, "aaaa bbbb cccc"), (None, "dddd eeee ffff"), (1, "same text here"), (1, "same text here")]
     rows = winnow.edited_next(spark.createDataFrame(same, "doc_id long, text string")).collect()
     assert len(rows) == 4 and len({tuple(r.choices) for r in rows if r.doc_id == 1}) == 1
+
+
+def test_many_equal_rows_are_worked_off_as_one(spark, monkeypatch):
+    rows = [(None, "many equal rows of one text")] * 40 + [(None, "another text"), (3, "the last text of all")] + [(3, "t")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain = winnow.edited_next(df).collect()
+    monkeypatch.setattr(winnow, "HOT_ROWS", 5)
+    monkeypatch.setattr(winnow, "BUCKET_ROWS", 2)
+    assert sorted(map(str, winnow.edited_next(df).collect())) == sorted(map(str, plain)) and len(plain) == len(rows)
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", "first text in order b"), ("a", "text of a"), (None, "no id here"), ("c", "and the last one")]
+    got = {r.doc_id: r for r in winnow.edited_next(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    want = {None: "no id here"[:8] + "te", "a": "text of" + "fi", "b": "first text in or" + "and t", "c": "and the last" + "no i"}
+    for d, edited in want.items():
+        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest(), d

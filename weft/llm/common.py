@@ -1,4 +1,4 @@
-"""Shared helpers: shared-folder tables, ordered buckets, hashing splits, components."""
+"""Shared helpers: shared-folder tables, ranges of an order, hashing splits, components."""
 
 from __future__ import annotations
 
@@ -24,11 +24,13 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests in one process) a folder below the
-    warehouse is used instead, which Spark itself requires to be shared.
+    Where the setting is absent and all runs in one process (tests), a folder
+    below the warehouse is used instead; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_weft"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
@@ -73,73 +75,66 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0)).cast("int")
 
 
-def ordered_buckets(df: DataFrame, key: str, rows: int, most: int = 2000) -> Column:
-    """A non-decreasing bucket number for ``key``: at most ``most`` ranges of about ``rows`` rows.
+#: Most ranges of an order; beyond that many times ``rows`` rows, ranges grow.
+MOST_RANGES = 1_000_000
+#: Bounds that are searched as literals, and bounds below each of those.
+COARSE = 1000
 
-    The bounds are approximate quantiles; results never depend on where they
-    fall, only the balance does. Null keys sort first, into bucket 0.
+
+class Ranges:
+    """Neighbouring ranges of the distinct values of a struct column ``key`` (of any types that can be ordered; nulls first).
+
+    Every value is the first of a range with a probability of one in ``rows``
+    for each of its ``n`` rows, by its hash: ranges hold about ``rows`` rows,
+    however many there are, and no value is in two. Bounds are searched in two
+    levels, ``COARSE`` literals and a table of at most ``MOST_RANGES`` values,
+    which is broadcast.
     """
-    n = df.count()
-    parts = max(1, min(most, n // max(1, rows)))
-    if parts == 1:
-        return F.lit(0)
-    bounds = df.agg(
-        F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts).alias("b")
-    ).first()["b"]
-    bounds = sorted({int(b) for b in bounds or []})
-    if not bounds:
-        return F.lit(0)
-    return _search(F.col(key), bounds)
-
-
-def _search(key: Column, bounds: list[int]) -> Column:
-    """Binary search as nested comparisons: the number of bounds that are <= key."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo <= 16:
-            total = F.lit(lo)
-            for b in bounds[lo:hi]:
-                total = total + (key >= b).cast("int")
-            return total
-        mid = (lo + hi) // 2
-        return F.when(key < bounds[mid], tree(lo, mid)).otherwise(tree(mid, hi))
-
-    if len(bounds) <= 64:
-        return F.coalesce(tree(0, len(bounds)), F.lit(0))
-    array = F.array(*[F.lit(b) for b in bounds])
-    # log2(n) steps of aggregate over a short sequence: (lo, hi) as one struct
-    steps = max(1, len(bounds).bit_length())
-    state = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def __init__(self, keys: DataFrame, work: Workspace, rows: int, name: str = "ranges"):
+        total = keys.agg(F.sum("n")).first()[0] or 0
+        rows = max(rows, -(-total // MOST_RANGES))
+        chance = F.least(F.col("n"), F.lit(rows))
+        picked = keys.where(F.pmod(F.xxhash64("key", F.lit(17)), F.lit(rows)) < chance).select("key")
+        # at most about MOST_RANGES rows
+        place = F.row_number().over(Window.orderBy("key")) - 1
+        self.bounds = work.save(picked.select("key", place.alias("place")), name)
+        self.kind = keys.schema["key"].dataType
+        self.two_levels = self.bounds.count() > COARSE
+        first = self.bounds.where(F.col("place") % COARSE == 0) if self.two_levels else self.bounds
+        self.coarse = [r["key"] for r in first.orderBy("place").select("key").collect()]  # at most COARSE or MOST_RANGES / COARSE
+
+    def of(self, df: DataFrame, key: str, out: str) -> DataFrame:
+        """Add ``out``, the number of the range of each row's ``key``."""
+        if not self.coarse:
+            return df.withColumn(out, F.lit(0))
+        fields = self.kind.fields
+        literal = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True)]) for row in self.coarse])
+        number = _bounds_up_to(literal, F.lit(len(self.coarse)), F.col(key), len(self.coarse))
+        if not self.two_levels:
+            return df.withColumn(out, number)
+        fine = self.bounds.groupBy((F.expr(f"place div {COARSE}") + 1).cast("int").alias("__c")).agg(
+            F.array_sort(F.collect_list("key")).alias("__fine")  # at most COARSE values
+        )
+        below = F.coalesce(_bounds_up_to(F.col("__fine"), F.size("__fine"), F.col(key), COARSE), F.lit(0))
+        exact = F.when(F.col("__c") == 0, F.lit(0)).otherwise((F.col("__c") - 1) * COARSE + below)
+        joined = df.withColumn("__c", number).join(F.broadcast(fine), "__c", "left")
+        return joined.withColumn(out, exact.cast("int")).drop("__c", "__fine")
+
+
+def _bounds_up_to(bounds: Column, n: Column, key: Column, most: int) -> Column:
+    """How many of ``n`` ascending bounds (at most ``most``) are not above the key, by bisection."""
 
     def step(s: Column, _: Column) -> Column:
         mid = ((s["lo"] + s["hi"]) / 2).cast("int")
-        right = key >= F.get(array, F.least(mid, F.lit(len(bounds) - 1)))
         open_ = s["lo"] < s["hi"]
+        right = open_ & (key >= F.get(bounds, F.least(mid, n - 1)))
         return F.struct(
-            F.when(open_ & right, mid + 1).otherwise(s["lo"]).alias("lo"),
-            F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi"),
+            F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi")
         )
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, step)["lo"]
-    return F.coalesce(F.when(key.isNotNull(), found), F.lit(0))
-
-
-def running_start(df: DataFrame, bucket: Column, order: list, size: str, out: str, part: str) -> DataFrame:
-    """Add ``part`` (the bucket) and ``out``: the sum of ``size`` over all rows before this one in (bucket, order).
-
-    Two levels: bucket totals are summed over the bounded number of buckets,
-    rows inside each bucket by a window, so no task sees all rows.
-    """
-    df = df.withColumn(part, bucket.cast("int"))
-    totals = df.groupBy(part).agg(F.sum(size).alias("__t"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(part, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.join(F.broadcast(offsets), part)  # at most as many rows as buckets
-        .withColumn(out, (F.col("__o") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long"))
-        .drop("__o")
-    )
+    state = F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, most.bit_length()))), state, step)["lo"]
 
 
 def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:

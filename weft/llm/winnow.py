@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.llm.common import ordered_buckets
+from weft.llm.common import MOST_RANGES, Ranges, Workspace
 
 K = 8
 WINDOW = 16
@@ -40,6 +40,8 @@ PRIME = (1 << 31) - 1
 BASE = 1021
 #: Rows between two cuts of the id order.
 BUCKET_ROWS = 250
+#: Rows equal in id and text from which they are worked off as one.
+HOT_ROWS = 1000
 
 _HIGH = 1 << 32
 
@@ -154,46 +156,65 @@ def edited_next(
     id_col: str = "doc_id",
     text_col: str = "text",
     of_choices: Callable[[Column], Column] = lambda choices: choices,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness to each other and to the next text.
 
     ``of_choices`` is what to return of the packed choices, for instance a
     digest; what it leaves out is not carried through the last window.
 
-    The next document is the following one by id; after the last comes the
-    first. Rows are put in buckets of the id order, and the first row of a
-    bucket is copied to the one before, so each bucket is worked off alone.
+    The next document is the following one by id (of any type that can be
+    ordered), then by the hash of its text; after the last comes the first.
+    Rows are dealt to ranges of that order, however many they are, and the
+    first row of a range is copied to the one before, so each range is worked
+    off alone; rows of one id are split by their texts. Rows that are equal in
+    both and more than ``HOT_ROWS`` are worked off as one: all but the last
+    have an equal text next.
     The choices of windows that end before the edit serve both texts.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bucket = ordered_buckets(docs.select(F.col(id_col).alias("id")), "id", BUCKET_ROWS)
-    firsts = (
-        own.select("id", bucket.alias("b")).groupBy("b").agg(F.min(F.struct("id")).alias("least")).orderBy("b").collect()
-    )  # at most as many rows as buckets
-    if not firsts:
-        moved = own.select("id", "text", F.lit(0).alias("b"), F.lit(0).alias("copy"))
+    work = work or Workspace(docs.sparkSession, "winnow")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    key = F.struct("id", "text_hash").alias("key")
+    keys = work.save(own.select(key).groupBy("key").agg(F.count("*").alias("n")), "keys")
+    ranges = Ranges(keys, work, BUCKET_ROWS)
+    least = Window.orderBy("b")  # as many rows as ranges
+    firsts = ranges.of(keys, "key", "b").groupBy("b").agg(F.min("key").alias("key"))
+    last = F.max("b").over(Window.partitionBy())
+    firsts = work.save(firsts.select("key", F.coalesce(F.lag("b").over(least), last).alias("before")), "firsts")
+    # at most MOST_RANGES values
+    hot = keys.where(F.col("n") > max(HOT_ROWS, (keys.agg(F.sum("n")).first()[0] or 0) // MOST_RANGES))
+    own = own.withColumn("key", key)
+    folded = not hot.isEmpty()
+    if folded:
+        hot = F.broadcast(hot.select("key", F.col("n").alias("times")))
+        once = own.join(hot, "key", "left_anti").withColumn("times", F.lit(1).cast("long"))
+        own = once.unionByName(own.join(hot, "key").dropDuplicates(["key"]))
     else:
-        before = [(r["least"]["id"], firsts[i - 1]["b"]) for i, r in enumerate(firsts)]
-        kind = own.schema["id"].dataType.simpleString()
-        copies = F.broadcast(docs.sparkSession.createDataFrame(before, f"first {kind}, before int"))
-        places = F.array_compact(
-            F.array(
-                F.struct(F.col("b"), F.lit(0).alias("copy")),
-                F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("b"), F.lit(1).alias("copy"))),
-            )
+        own = own.withColumn("times", F.lit(1).cast("long"))
+    places = F.array_compact(
+        F.array(
+            F.struct(F.col("b"), F.lit(0).alias("copy")),
+            F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("b"), F.lit(1).alias("copy"))),
         )
-        moved = (
-            own.withColumn("b", bucket.cast("int"))
-            .join(copies, F.col("id").eqNullSafe(F.col("first")), "left")
-            .select("id", "text", F.explode(places).alias("p"))
-            .select("id", "text", "p.b", "p.copy")
+    )
+    moved = (
+        ranges.of(own, "key", "b")
+        .join(F.broadcast(firsts), "key", "left")
+        .select("id", "text", "text_hash", "times", F.explode(places).alias("p"))
+        .select("id", "text", "text_hash", "times", "p.b", "p.copy")
+    )
+    order = Window.partitionBy("b").orderBy("copy", F.col("id").asc_nulls_first(), "text_hash", F.desc("again"))
+    moved = moved.withColumn("again", F.lit(0)).withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
+    if folded:
+        itself = F.struct(F.lit(1).alias("again"), (F.col("times") - 1).alias("times"), F.col("text").alias("next_text"))
+        ways = F.array_compact(
+            F.array(F.when(F.col("times") > 1, itself), F.struct("again", F.lit(1).cast("long").alias("times"), "next_text"))
         )
-    order = Window.partitionBy("b").orderBy("copy", F.col("id").asc_nulls_first(), "text_hash")
+        moved = moved.select("id", "text", "text_hash", "b", "copy", F.explode(ways).alias("w")).select("*", "w.*").drop("w")
     overlap = K + WINDOW - 2
     rows = (
-        moved.withColumn("text_hash", F.xxhash64("text"))
-        .withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
-        .withColumn("n", F.char_length("text"))
+        moved.withColumn("n", F.char_length("text"))
         .withColumn("kept", F.col("n") - F.expr("n div 4").cast("int"))
         .withColumn("put", F.substring(F.col("next_text"), F.lit(1), F.expr("n div 4").cast("int")))
         .drop("next_text")
@@ -222,6 +243,8 @@ def edited_next(
             "text_hash",
             "b",
             "copy",
+            "again",
+            "times",
             "n",
             "edited_sha256",
             of_choices(F.col("print")).alias("choices"),
@@ -232,6 +255,8 @@ def edited_next(
         .withColumn("next", F.lead("own").over(order))
         .where("copy = 0")
     )
+    if folded:
+        rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return rows.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),

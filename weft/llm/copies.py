@@ -40,6 +40,8 @@ RADIUS = 6
 SEED = 42
 #: Shares of the nodes that are pivots, in 1/256, of the rounds after the first; the last one holds all.
 SHARES = (16, 256)
+#: Nodes of compared pairs up to which their numbers are broadcast (8 bytes each).
+BROADCAST = 1_000_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -91,8 +93,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, th bigint, node bigint, n int, fp bigint, own binary")
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are at least LEAST similar."""
+def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are at least LEAST similar; only the sets of their nodes are shuffled."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    if nodes.count() <= BROADCAST:
+        nodes = F.broadcast(nodes)
+    # all rows of a node have the same set
+    sets = rows.select("node", "own").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,13 +122,6 @@ def components(rows: DataFrame, work: Workspace) -> DataFrame:
     met = every.select("node", F.explode(simhash.covered(F.col("fp"), RADIUS)).alias("key"))
     shared = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = work.save(met.join(shared.select("key"), "key", "left_semi").join(every, "node"), "buckets")
-    wanted = buckets.select("node").distinct()
-    sets = rows.groupBy("node").agg(F.min(F.struct("th", "id")).alias("f"))
-    first = sets.join(wanted, "node", "left_semi").select("node", "f.th", "f.id")
-    own = rows.select("node", "th", "id", "own").join(
-        first, (rows["node"] == first["node"]) & (rows["th"] == first["th"]) & rows["id"].eqNullSafe(first["id"]), "left_semi"
-    )
-    sets = work.save(own.select("node", "own").dropDuplicates(["node"]), "sets")
     links = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "node long, root long")
     tested = None
@@ -143,7 +143,7 @@ def components(rows: DataFrame, work: Workspace) -> DataFrame:
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(work.save(alike(pairs, sets), f"links{step}"))
+        links = links.unionByName(work.save(alike(pairs, rows), f"links{step}"))
         roots = connected_components(links, work, f"cc{step}_")
     return roots
 

@@ -91,3 +91,54 @@ def test_keep_leaves_columns(spark):
     assert {r.doc_id for r in kept.collect()} == good
     bad = {r.doc_id for r in toxicity.score(docs, toxicity.train(docs, labels)).where("predicted = 1").collect()}
     assert {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()} == {r.doc_id for r in docs.collect()} - bad
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_the_model_does_not_depend_on_partitions(spark, module):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    # repeated ids with other texts, and labels that contradict each other
+    docs = docs.select("doc_id", "text").unionByName(docs.select("doc_id", F.reverse("text").alias("text")).where("doc_id % 3 = 0"))
+    labels = labels.unionByName(labels.where("doc_id % 5 = 1").withColumn("quality", F.lit(0)).withColumn("toxic", F.lit(1)))
+    models = [module.train(docs.repartition(n), labels.repartition(n)) for n in (1, 3, 8)]
+    texts = [r.text for r in docs.limit(50).collect()]
+    for other in models[1:]:
+        assert [models[0].score_text(t) for t in texts] == [other.score_text(t) for t in texts]
+    if module is toxicity:
+        assert models[0] == models[1] == models[2]
+
+
+def test_coordinate_descent_reaches_the_optimum_of_a_plain_solver():
+    """The hinge loss of the fit is within the gap of the best that projected gradient ascent on the dual finds."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd ") for _ in range(12)) for _ in range(40)]
+    y = np.array([int(rng.random() < 0.3 + 0.5 * ("ab" in t)) for t in texts])
+    rows = [quality.indicators(t) for t in texts]
+    model = quality.fit(rows, y, y.mean())
+    on = np.unique(np.concatenate(rows))
+    ratio = model.ratio[on].astype(np.float64)
+    x = np.array([[ratio[i] if f in set(r.tolist()) else 0.0 for i, f in enumerate(on)] + [1.0] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sign = np.where(y > 0, 1.0, -1.0)
+
+    def primal(w):
+        return 0.5 * w @ w + quality.COST * np.maximum(1 - sign * (x @ w), 0).sum()
+
+    gram = (x * sign[:, None]) @ (x * sign[:, None]).T
+    dual = np.zeros(len(y))
+    for _ in range(20_000):
+        dual = np.clip(dual + 0.02 * (1 - gram @ dual), 0, quality.COST)
+    best = primal(x.T @ (dual * sign))
+    own = primal(np.append(model.weights[on] / np.where(ratio == 0, 1, ratio), model.bias))
+    assert best * 0.999 <= own <= best * (1 + 2 * quality.GAP)
+
+
+def test_matches_are_those_of_a_naive_search():
+    rng = random.Random(8)
+    entries = {"abc": 1.0, "abca": 2.0, "bca": 1.5, "caaab": 3.0}
+    lexicon = toxicity.Lexicon(entries, ("abc abc", "bca c"), 1.0, 0.0)
+    for _ in range(300):
+        text = "".join(rng.choice("abc  ") for _ in range(40))
+        starts = [i for i in range(len(text)) if not i or not text[i - 1].isalnum()]
+        shields = [(i, i + len(p) - 1) for p in lexicon.phrases for i in starts if text.startswith(p, i)]
+        want = sorted((i, e) for e in entries for i in starts if text.startswith(e, i) and not any(a <= i <= b for a, b in shields))
+        assert sorted((at, e) for at, e, _ in lexicon.matches(text)) == want

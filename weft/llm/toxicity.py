@@ -11,8 +11,9 @@ from at most ``MOST_ROWS`` labelled rows a class by their log-odds between
 toxic and other documents; an entry must occur in at least ``SUPPORT`` of
 the toxic ones. Word pairs around an entry that occur only in documents not
 labelled toxic are learned as exception phrases, beside the fixed ones.
-Documents that begin or end alike count once, so that what a group of
-copies happens to share is not taken for toxic.
+Equal texts of a class count once. The fixed phrases are common harmless
+ones, an argument of ``train``. The fit does not depend on partitions: the
+sample is written once, and all choices are made in a total order.
 
 Edge cases: null text counts as empty and scores as a text without matches;
 without training rows of both classes there is no entry and every score is
@@ -55,6 +56,7 @@ PHRASES = ("clown fish", "clownfish", "trash can", "trash bin", "idiot proof", "
 
 _FOLD = str.maketrans({p[0]: p[1] for p in f"{LOOK_ALIKE} {SIGNS}".split()})
 _WORD = re.compile(r"[^\W_]+").match
+_PAIR = re.compile(r"[^\W_]+ [^\W_]+").match
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -161,7 +163,7 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict[s
             continue
         longer = e
         while True:  # the same words, said more exactly
-            more = [x for x in strong if len(x) == len(longer) + 1 and x.startswith(longer)]
+            more = [x for x in sorted(strong) if len(x) == len(longer) + 1 and x.startswith(longer)]
             same = [x for x in more if counts[x][0] >= 0.9 * counts[e][0]]
             if not same:
                 break
@@ -170,21 +172,22 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict[s
     return {e: w for e, w in chosen.items() if not any(e[:n] in chosen for n in range(SHORTEST, len(e)))}
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    phrases: tuple[str, ...] = PHRASES,
+) -> Lexicon:
     """The lexicon and its curve, learned from labelled rows outside fold 0."""
     bounded_batches(docs.sparkSession)
     sample, share = training_rows(docs, labels, label, 5, MOST_ROWS, id_col, text_col)
-    sample = (
-        sample.withColumn("a", F.xxhash64(F.substring("text", 1, 48), "y"))
-        .withColumn("z", F.xxhash64(F.substring("text", -48, 48), "y"))
-        .dropDuplicates(["a"])
-        .dropDuplicates(["z"])
-        .select("id", "text", "y")
-    )
+    sample = sample.groupBy(F.sha2("text", 256).alias("h"), "y").agg(F.min(F.struct("id", "text")).alias("f")).select("f.id", "f.text", "y")
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     odds = math.log(min(max(share, 1e-6), 1 - 1e-6) / min(max(1 - share, 1e-6), 1 - 1e-6))
     if len(n) < 2:
-        return Lexicon({}, PHRASES, 0.0, odds)
+        return Lexicon({}, phrases, 0.0, odds)
     beginnings = F.transform(
         F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST))), lambda k: F.col("word").substr(F.lit(1), k)
     )
@@ -203,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         for e, w in choose({r["entry"]: (r["toxic"], r["other"]) for r in found}, n[1], n[0]).items()
         if w + odds > 0
     }
-    bare = Lexicon(entries)
+    bare = Lexicon(entries, phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
                 strength.append(bare.strength(text))
                 folded, near = fold(text), set()
                 for at, entry, _ in bare.matches(folded):
-                    word = re.match(r"[^\W_]+ [^\W_]+", folded[at : at + 80])
+                    word = _PAIR(folded, at)
                     if word:
                         near.add(word[0])
                 around.append(sorted(near))
@@ -224,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     rows = sample.mapInArrow(run, "y int, x double, near array<string>").collect()  # at most 2 * MOST_ROWS
     bad = {p for r in rows if r["y"] for p in r["near"]}
     fine = Counter(p for r in rows if not r["y"] for p in r["near"])
-    phrases = PHRASES + tuple(sorted(p for p, k in fine.items() if k >= 3 and p not in bad))
+    phrases = phrases + tuple(sorted(p for p, k in fine.items() if k >= 3 and p not in bad))
     rows.sort(key=lambda r: (r["y"], r["x"]))
     y, x = np.array([r["y"] for r in rows], float), np.array([r["x"] for r in rows])
     # both classes count alike: toxic documents are few, and missing one costs more

@@ -70,6 +70,8 @@ BLOCK_WORDS, BLOCK_BYTES = 400_000, 24_000_000
 SHARD_BYTES = 16_000_000
 #: Blocks whose cells are merged at once.
 FAN = 64
+#: Dishes whose customers are seated at once.
+SEATED = 16_384
 #: Stands for the end of a text: white space is never part of a word.
 END = b"\n"
 _SPACE = 0x20
@@ -114,8 +116,16 @@ def seat(c: np.ndarray, pull: np.ndarray, discount: float, key: np.ndarray, salt
     """Tables of dishes with ``c`` customers; ``pull``: (strength + discount * tables) * base probability."""
     tables = (c > 0).astype(np.int64)
     order = np.argsort(-c, kind="stable")
-    c, pull, key, own = c[order], pull[order], key[order], tables[order]
-    at, most = 1, int(c[0]) if len(c) else 0
+    order = order[: np.searchsorted(-c[order], -1, "left")]  # a single customer has one table
+    for low in range(0, len(order), SEATED):
+        some = order[low : low + SEATED]
+        tables[some] = _seated(c[some], pull[some], discount, key[some].astype(np.uint64), salt)
+    return tables
+
+
+def _seated(c: np.ndarray, pull: np.ndarray, discount: float, key: np.ndarray, salt: int) -> np.ndarray:
+    """The same of dishes with at least two customers each, most first."""
+    own, at, most = np.ones(len(c)), 1, int(c[0])
     while at < most:
         group = max(1, int(at * STEP)) if at >= EXACT else 1
         live = int(np.searchsorted(-c, -at, "left"))
@@ -126,8 +136,7 @@ def seat(c: np.ndarray, pull: np.ndarray, discount: float, key: np.ndarray, salt
         else:
             own[:live] += _binomial(np.minimum(group, c[:live] - at), new, u)
         at += group
-    tables[order] = own
-    return tables
+    return own.astype(np.int64)
 
 
 def discount_of(ones: float, twos: float) -> float:
@@ -148,7 +157,9 @@ class Bytes:
 
     def words(self, words: pa.Array) -> np.ndarray:
         """Natural log-probability of the spelling of each word (not null)."""
-        symbols, contexts, ends = spelled(words)
+        return self.of_spelled(*spelled(words))
+
+    def of_spelled(self, symbols: np.ndarray, contexts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         rows = self.row[contexts]
         rows = np.where(rows >= 0, rows, len(self.table) - 256 + (contexts & 255))
         logs = self.logs[rows, symbols]
@@ -432,15 +443,23 @@ class Cells:
     context: np.ndarray
     c: np.ndarray
     starts: np.ndarray
+    spelled: tuple[np.ndarray, np.ndarray, np.ndarray] = None
+    _spelling: dict = field(default_factory=dict)
 
     @classmethod
     def of(cls, words: bytes, sizes: bytes, contexts: bytes, customers: bytes) -> Cells:
         names, n = split(words), unpack(sizes)
+        own = pa.array(names, pa.binary())
         return cls(
-            pa.array(names, pa.binary()), hashes(names).view(np.int64), np.repeat(np.arange(len(n)), n), summed(unpack(contexts), n), unpack(customers),
-            np.cumsum(n) - n,
+            own, hashes(names).view(np.int64), np.repeat(np.arange(len(n)), n), summed(unpack(contexts), n), unpack(customers), np.cumsum(n) - n, spelled(own)
         )
 
+    def spelling(self, model: Model, s: int) -> np.ndarray:
+        """Probability of each word's spelling under the byte model of a sweep."""
+        if s not in self._spelling:
+            self._spelling[s] = np.exp(model.byte_models[s].of_spelled(*self.spelled))
+        return self._spelling[s]
+
     def by_word(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.starts)
 
@@ -459,14 +478,13 @@ class Cells:
             tables = (self.c > 0).astype(np.int64)
             tables[many] = seat(self.c[many], pull, model.context_discount, cell_keys, 2 * s)
             customers = self.by_word(tables)
-            spelled_ = np.exp(model.byte_models[s - 1].words(self.words))
-            pull = (STRENGTH + model.word_discount * model.word_tables[s - 1]) * spelled_
+            pull = (STRENGTH + model.word_discount * model.word_tables[s - 1]) * self.spelling(model, s - 1)
             word_tables = seat(customers, pull, model.word_discount, self.keys, 2 * s + 1)
             yield tables, customers, word_tables
 
     def base(self, model: Model, s: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The parent's probability of each word."""
-        rest = (STRENGTH + model.word_discount * model.word_tables[s]) * np.exp(model.byte_models[s].words(self.words))
+        rest = (STRENGTH + model.word_discount * model.word_tables[s]) * self.spelling(model, s)
         return (customers - model.word_discount * tables + rest) / (STRENGTH + model.word_customers[s])
 
     def log10(self, model: Model) -> np.ndarray:
@@ -502,15 +520,15 @@ def train(top: DataFrame) -> Model:
                     own = Cells.of(**row)
                     for state in own.sweeps(shared.value, sweep):
                         tables, customers, word_tables = state
-                    np.add.at(contexts[0], own.context, tables)
+                    contexts[0] += np.bincount(own.context, tables, 1 << CONTEXT_BITS).astype(np.int64)
                     sums[6:] += customers.sum(), word_tables.sum()
                     if not sweep:
-                        np.add.at(contexts[1], own.context, own.c)
+                        contexts[1] += np.bincount(own.context, own.c, 1 << CONTEXT_BITS).astype(np.int64)
                         sums[:6] += [
                             own.c.sum(), (customers > 0).sum(), (own.c == 1).sum(), (own.c == 2).sum(), (customers == 1).sum(), (customers == 2).sum()
                         ]
                         continue
-                    symbols, before, ends = spelled(own.words)
+                    symbols, before, ends = own.spelled
                     each = np.repeat(word_tables, np.diff(ends, prepend=0))
                     found, at = np.unique(before << 8 | symbols, return_inverse=True)
                     for cell, n in zip(found.tolist(), np.bincount(at, each, len(found)).astype(np.int64).tolist(), strict=True):

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from weft.plans import catalog
+from weft.plans import catalog, extended  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

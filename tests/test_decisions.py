@@ -82,11 +82,41 @@ def test_assignment_is_the_best_of_all():
     got = graph.assign(edges)
     lists = {1: {7: 0.9, 8: 0.6}, 2: {8: 0.7, 9: 0.2}}
     value = {r.i23: r.i1 for r in got.itertuples()}
-    every = [dict(zip((7, 8, 9), o)) for o in itertools.product((1, None), (1, 2, None), (2, None))]
+    # only record 8 is claimed twice; the others stay with their entity
+    every = [dict(zip((7, 8, 9), o)) for o in itertools.product((1,), (1, 2, None), (2,))]
     assert graph._value(value, lists) == pytest.approx(max(graph._value(o, lists) for o in every))
     assert graph.assign(edges, most=1)["i23"].is_unique
 
 
+def test_entities_are_worth_their_best_prefix():
+    """Against all outcomes: the expected F0.5 of every prefix, with nothing elsewhere."""
+    for ps in ([0.9, 0.6, 0.2], [0.1, 0.05], [0.5]):
+        def expected(k, ps=ps):
+            total = 0.0
+            for truth in itertools.product((0, 1), repeat=len(ps)):
+                weight = 1.0
+                for t, q in zip(truth, ps):
+                    weight *= q if t else 1 - q
+                tp, n = sum(truth[:k]), sum(truth)
+                # matches that are left out count by their expectation
+                unseen = sum(ps[k:])
+                total += weight * ((1.0 if not n else 0.0) if k == 0 else 5 * tp / (5 * tp + unseen + 4 * (k - tp)) if tp else 0.0)
+            return total
+        assert graph._best_prefix(ps, 0.0) == pytest.approx(max(expected(k) for k in range(len(ps) + 1)))
+
+
+def test_disputed_records_are_solved_by_component(spark):
+    rows = [(1, 7, 0.9), (1, 8, 0.6), (2, 8, 0.7), (2, 9, 0.2), (5, 50, 0.4), (6, 60, 0.3), (6, 61, 0.9), (7, 61, 0.2), (8, 90, 0.01)]
+    edges = spark.createDataFrame(rows, "i1 long, i23 long, p double")
+    got = {(r.i1, r.i23) for r in graph.solve(edges).collect()}
+    want = set()
+    for part in ([r for r in rows if r[0] in (1, 2)], [r for r in rows if r[0] in (6, 7)]):
+        want |= {(r.i1, r.i23) for r in graph.assign(pd.DataFrame(part, columns=["i1", "i23", "p"])).itertuples()}
+    assert got == want | {(5, 50)}
+    plain = {(r.i1, r.i23) for r in graph.solve(edges, most_shared=0).collect()}
+    assert plain == {(1, 7), (2, 8), (2, 9), (5, 50), (6, 60), (6, 61)}
+
+
 def test_components_and_capped_clusters(spark):
     links = spark.createDataFrame(
         [(i, i + 1, 0.96) for i in range(12)] + [(0, 1, 0.991), (20, 21, 0.99), (40, 40, 0.99)], "x long, y long, p_link double"

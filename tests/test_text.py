@@ -42,15 +42,29 @@ def test_metaphone_of_common_words(word, code):
     assert X.metaphone("a " * 40) == X.metaphone("a " * 40)[:12]
 
 
-def test_record_parser():
-    r = parse.Parser()("Dr coinsintered.com", "DOOR NO 35 , MANKAPUR, OPP.RANU PRIMARY SCHOOL, NAGPUR, Maharashtra")
+def test_record_parser(spark):
+    rows = [
+        ("Dr coinsintered.com", "DOOR NO 35 , MANKAPUR, OPP.RANU PRIMARY SCHOOL, NAGPUR, Maharashtra"),
+        ("Umbraavi d/b/a Centre Médical du Marie", "ALLÉE CLÉMENCEAU, 33260 LA TESTE DE BUCH"),
+        ("Acme Holdings Ltd", "Unit 5, 12 Main Street, Springfield"),
+        (None, "N/A"),
+        ("Mr A.B. of the", "P.O. Box 12, Near City Mall Road, 400 001 pin code 400 001, 12/3-A Flat No 7"),
+        ("दुकान 2 llc", "75011 rue du Bac"),
+    ]
+    df = spark.createDataFrame([(i, n, a, None) for i, (n, a) in enumerate(rows)], "i int, business_name string, business_address string, cty string")
+    got = [r.asDict() for r in parse.parse_records(df).orderBy("i").collect()]
+    r = got[0]
     assert (r["url"], r["landmark"], r["house"]) == ("coinsintered", "ranu primary school", "35")
-    r = parse.Parser()("Umbraavi d/b/a Centre Médical du Marie", "ALLÉE CLÉMENCEAU, 33260 LA TESTE DE BUCH")
+    r = got[1]
     assert (r["postal"], r["trade"], r["has_dba"]) == ("33260", ["centre", "medical", "du", "marie"], True)
-    assert set(r) == set(parse.FIELDS)
-    r = parse.Parser()("Acme Holdings Ltd", "Unit 5, 12 Main Street, Springfield")
+    assert set(r) - {"i", "business_name", "business_address", "cty"} == set(parse.FIELDS)
+    r = got[2]
     assert (r["core"], r["legal"], r["unit"], r["house"], r["street"]) == (["acme", "holding"], "ltd", "5", "12", ["main", "st"])
-    assert parse.Parser()(None, "N/A")["a_toks"] == []
+    assert got[3]["a_toks"] == [] and got[3]["core"] == [] and not got[3]["has_dba"]
+    r = got[4]
+    assert (r["name_n"], r["landmark"], r["unit"], r["postal"]) == ("ab of the", "city mall rd", "7", "400001")
+    r = got[5]
+    assert (r["native"], r["name_nums"], r["legal"], r["postal"], r["house"]) == (True, ["2"], "llc", "", "75011")
 
 
 def test_parse_records(spark):
@@ -99,11 +113,19 @@ def test_native_columns(spark):
     assert (got.j, got.u, got.c, got.l, got.g) == (pytest.approx(1 / 3), -1.0, 0.25, pytest.approx(0.6), -1.0)
 
 
-def test_alignment():
-    assert mining.align(["lakshmee", "store"], ["laxmi", "store"]) == [("lakshmee", "laxmi")]
-    assert mining.align(["intl", "foods", "of", "x1"], ["international", "foods"]) == [("international", "intl")]
-    assert mining.align(["a"], ["a"]) == []
-    assert mining.segments_alike("uttar pradesh", "up") and not mining.segments_alike("goa", "delhi")
+def test_alignment(spark):
+    rows = [
+        (["lakshmee", "store"], ["laxmi", "store"], [("lakshmee", "laxmi")]),
+        (["intl", "foods", "of", "x1"], ["international", "foods"], [("international", "intl")]),
+        (["a"], ["a"], []),
+        (None, ["a"], []),
+        (["center", "centre", "mill", "road"], ["centr", "mil"], [("center", "centr"), ("mil", "mill")]),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a array<string>, b array<string>")
+    got = mining.aligned(df, "a", "b").orderBy("i").collect()
+    assert [[(p.x, p.y) for p in r.aligned] for r in got] == [want for _, _, want in rows]
+    segments = spark.createDataFrame([("uttar pradesh", "up"), ("goa", "delhi"), ("mahrashtra", "maharashtra"), ("blvd", "boule vard")], "x string, y string")
+    assert [r.s for r in segments.select(mining.segments_alike(F.col("x"), F.col("y")).alias("s")).collect()] == [True, False, True, True]
 
 
 def test_canonical_tables(spark):

@@ -19,6 +19,13 @@ def record_text(name: Column, address: Column, prefix: str = "query: ", between:
     return F.concat(F.lit(prefix), F.concat_ws(between, name, F.when(said, address)))
 
 
+def pair_text(name: Column, address: Column, duplicates: Column | None = None) -> Column:
+    """A record as one side of a pair for a cross encoder: "name ; address", and how many duplicates it has where that is given."""
+    said = ~F.lower(F.trim(address)).isin(*sorted(NO_ADDRESS))
+    more = F.concat(F.lit("dup "), duplicates.cast("string")) if duplicates is not None else F.lit(None).cast("string")
+    return F.concat_ws(" ; ", name, F.when(said, address), more)
+
+
 def _words(words: list[str], draw: random.Random) -> list[str]:
     if len(words) > 1 and draw.random() < 0.3:
         i = draw.randrange(len(words) - 1)

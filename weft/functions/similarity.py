@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import gram_set
@@ -193,3 +193,33 @@ def of_columns(kernel: Callable, a: Column, b: Column) -> Column:
         return pd.Series([one("" if p is None else p, "" if q is None else q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return run(a, b)
+
+
+def first_features(pairs: DataFrame, name_a: str, name_b: str, address_a: str, address_b: str) -> DataFrame:
+    """The pairs with the string features of the first generation, of normalised names and addresses; percentages as 0 to 100."""
+    a, b, x, y = (F.coalesce(F.col(c), F.lit("")) for c in (name_a, name_b, address_a, address_b))
+
+    def words(text: Column) -> Column:
+        return F.filter(F.split(text, " "), lambda t: t != "")
+
+    def numbers(text: Column) -> Column:
+        return F.filter(words(text), lambda t: t.rlike("^[0-9]"))
+
+    shared, every = F.size(F.array_intersect(words(x), words(y))), F.size(F.array_union(words(x), words(y)))
+    return pairs.withColumns(
+        {
+            "name_ratio": of_columns(ratio, a, b),
+            "name_tset": of_columns(set_ratio, a, b),
+            "name_tsort": of_columns(sorted_ratio, a, b),
+            "name_partial": of_columns(partial_ratio, a, b),
+            "name_jw": of_columns(jaro_winkler, a, b),
+            "addr_tset": of_columns(set_ratio, x, y),
+            "addr_ratio": of_columns(ratio, x, y),
+            "addr_jacc": shared / F.greatest(F.lit(1), every),
+            "num_jacc": jaccard(numbers(x), numbers(y)),
+            "name_in_addr": of_columns(partial_ratio, a, y),
+            "len_a": F.length(a),
+            "len_b": F.length(b),
+            "addr_empty_b": (y == "").cast("int"),
+        }
+    )

@@ -55,7 +55,7 @@ INDIC = {
 _INDIC_BLOCKS = range(0x0900, 0x0D80, 0x80)
 
 _TYPOGRAPHY = str.maketrans(TYPOGRAPHY)
-#: (pattern, replacement) applied in turn before a text is cut into tokens.
+# Patterns and their replacements before a text is cut into tokens, and ordinals.
 _BEFORE_TOKENS = (
     (re.compile(r"\b(?:l|d|qu|j|m|n|s|t|c)'(?=[a-z])"), ""),
     (re.compile("'"), ""),
@@ -218,9 +218,39 @@ def plain_numbers(words: Column) -> Column:
 
 
 def with_forms(words: Column, forms: dict[str, str] = WORD_FORMS) -> Column:
-    """Words replaced by their canonical form."""
-    table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
-    return F.transform(words, lambda t: F.coalesce(F.element_at(table, t), t))
+    """Words replaced by their canonical form; found by the first letter, then in a short map."""
+    by_letter: dict[str, list[str]] = {}
+    for word, form in forms.items():
+        by_letter.setdefault(word[:1], []).extend([word, form])
+    tables = {letter: F.create_map(*[F.lit(x) for x in pairs]) for letter, pairs in by_letter.items()}
+
+    def form(t: Column) -> Column:
+        found = t
+        for letter, table in tables.items():
+            found = F.when(F.substring(t, 1, 1) == letter, F.coalesce(F.element_at(table, t), t)).otherwise(found)
+        return found
+
+    return F.transform(words, form)
+
+
+#: The word forms and empty values of the first generation.
+FIRST_FORMS = {
+    "street": "st", "road": "rd", "avenue": "ave", "av": "ave", "boulevard": "blvd", "bd": "blvd", "drive": "dr",
+    "lane": "ln", "court": "ct", "circle": "cir", "highway": "hwy", "place": "pl", "trail": "trl", "parkway": "pkwy",
+    "square": "sq", "terrace": "ter", "suite": "ste", "apartment": "apt", "building": "bldg", "floor": "fl",
+    "north": "n", "south": "s", "east": "e", "west": "w", "saint": "st", "number": "no", "house": "h",
+    "limited": "ltd", "private": "pvt", "corporation": "corp", "incorporated": "inc", "company": "co", "and": "&",
+    "et": "&", "enterprises": "enterprise", "traders": "trader", "industries": "industry", "services": "service",
+    "associates": "associate",
+}
+FIRST_EMPTY = ("none", "null", "nan", "n/a", "na", "<null>", "-")
+
+
+def first_norm(text: Column) -> Column:
+    """The first generation's form of a Latin text: lower case, words of letters, digits and &, canonical forms; null is empty."""
+    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("'"), F.lit(""))
+    words = F.filter(F.split(F.regexp_replace(low, "[^a-z0-9&]+", " "), " "), lambda t: t != "")
+    return F.when(F.trim(low).isin(*FIRST_EMPTY), F.lit("")).otherwise(F.array_join(with_forms(words, FIRST_FORMS), " "))
 
 
 def skeleton_col(text: Column) -> Column:

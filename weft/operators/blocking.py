@@ -150,3 +150,30 @@ def report(candidates: DataFrame, truth: DataFrame, n_left: DataFrame, n_right:
             (F.col("pairs") / F.col("n_left")).alias("pairs_per_query"),
         )
     )
+
+
+def list_report(candidates: DataFrame, truth: DataFrame, entities: DataFrame, left: str = "i1", right: str = "i23") -> DataFrame:
+    """One row: mean, 95th percentile and longest list, share of matched entities with all matches found, and macro F0.5 of a perfect judge."""
+    sizes = candidates.groupBy(left).agg(F.count("*").alias("n"))
+    lists = sizes.agg(F.sum("n").alias("pairs"), F.percentile("n", 0.95).alias("p95"), F.max("n").alias("longest"))
+    hits = truth.join(candidates.select(left, right).distinct(), [left, right], "left_semi").groupBy(left).agg(F.count("*").alias("tp"))
+    per = entities.select(left).join(truth.groupBy(left).agg(F.count("*").alias("n_true")), left, "left").join(hits, left, "left").na.fill(0, ["n_true", "tp"])
+    # a perfect judge takes just the matches among the candidates
+    f = F.when(F.col("n_true") == 0, F.lit(1.0)).otherwise(5 * F.col("tp") / (4 * F.col("tp") + F.col("n_true")))
+    found = F.when(F.col("n_true") > 0, (F.col("tp") == F.col("n_true")).cast("double"))
+    judged = per.agg(F.count("*").alias("__n"), F.avg(found).alias("ceiling"), F.avg(F.coalesce(f, F.lit(0.0))).alias("oracle_f05"))
+    rows = lists.join(F.broadcast(judged))  # one row each
+    return rows.select((F.col("pairs") / F.col("__n")).alias("mean"), "p95", "longest", "ceiling", "oracle_f05")
+
+
+def pass_report(candidates: DataFrame, truth: DataFrame, passes: dict[str, Column], left: str = "i1", right: str = "i23") -> DataFrame:
+    """(pass, recall_alone, only_by_this): share of all matches that a pass found, and that no other did."""
+    names = list(passes)
+    marked = candidates.select(left, right, *[c.cast("int").alias(n) for n, c in passes.items()])
+    hits = truth.select(left, right).join(marked, [left, right], "left").na.fill(0, names)
+    total = sum((F.col(n) for n in names), F.lit(0))
+    sums = []
+    for n in names:
+        sums += [F.avg(F.col(n)).alias(f"a_{n}"), F.avg(((F.col(n) == 1) & (total == 1)).cast("double")).alias(f"o_{n}")]
+    rows = [F.struct(F.lit(n).alias("pass"), F.col(f"a_{n}").alias("recall_alone"), F.col(f"o_{n}").alias("only_by_this")) for n in names]
+    return hits.agg(*sums).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

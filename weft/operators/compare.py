@@ -176,3 +176,25 @@ def compare(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str =
         }
     )
     return rows.drop("a", "b")
+
+
+def provenance(candidates: DataFrame, tops: dict[str, int], rev_k: int, second_source: Column, left_id: str = "i1", right_id: str = "i23") -> DataFrame:
+    """How a pair was found: source, ranks and scores of passes, competition and dense search; null takes its fixed value.
+
+    Columns that the candidates lack are filled likewise, so models always see one layout.
+    """
+    fixed = {f"rank_{p}": k + 1 for p, k in tops.items()} | {f"score_{p}": 0 for p in tops} | {"rev_rank": rev_k + 1, "rev_score": 0}
+    fixed |= {c: 0 for c in ("p6", "n_passes", "blk", "blk_rank", "blk_gap", "blk_rev_rank", "n_cand", "rev_n", "blk_rev_gap")}
+    fixed |= {"dcos": -1, "drank": 99, "drev_rank": 9, "in_blk": 1}
+    columns = [
+        (F.coalesce(F.col(c).cast("double"), F.lit(float(v))) if c in candidates.columns else F.lit(float(v))).alias(c) for c, v in fixed.items()
+    ]
+    return candidates.select(left_id, right_id, second_source.cast("double").alias("src3"), *columns)
+
+
+def layout(features: DataFrame, found: DataFrame, left_id: str = "i1", right_id: str = "i23") -> DataFrame:
+    """One row of numbers a pair: its ids, then the comparison features, then the columns of ``provenance``, in that order."""
+    rows = features.join(found, [left_id, right_id])
+    own = [c for c in features.columns if c not in (left_id, right_id)]
+    more = [c for c in found.columns if c not in (left_id, right_id)]
+    return rows.select(left_id, right_id, *[F.col(c).cast("float").alias(c) for c in [*own, *more]])

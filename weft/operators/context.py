@@ -125,6 +125,34 @@ def entity_features(edges: DataFrame, p: str = "p", left: str = "i1", right: str
     return best.join(counts, left)
 
 
+def mates(edges: DataFrame, p: str = "p", strong: float = 0.5, low: float = 0.003, high: float = 0.997, left: str = "i1", right: str = "i23") -> DataFrame:
+    """(left, right, mate, m_p, m_n_strong) of the uncertain edges whose list has another strong record: the strongest such."""
+    own = edges.withColumn("__r", F.row_number().over(_ranked(left, p, right)))
+    best = own.where((F.col(p) >= strong) & (F.col("__r") <= 2)).select(left, F.col(right).alias("mate"), F.col(p).alias("m_p"), "__r")
+    counts = edges.where(F.col(p) >= strong).groupBy(left).agg(F.count("*").alias("m_n_strong"))
+    band = edges.where(uncertain(F.col(p), low, high)).select(left, right)
+    found = band.join(best, left).where(F.col("mate") != F.col(right))  # at most two a list
+    first = found.groupBy(left, right).agg(F.min(F.struct("__r", "mate", "m_p")).alias("f")).select(left, right, "f.mate", "f.m_p")
+    return first.join(counts, left)
+
+
+SINGLE = (
+    "t1", "t2", "t3", "psum", "n05", "n08", "ncand", "blk_max", "npass_max", "f_core_s1_r", "f_core_s23_r", "f_addr_s1_r", "idf_sum", "a_len",
+    "has_house",
+)
+
+
+def single_features(entities: DataFrame, edges: DataFrame, candidates: DataFrame, p: str = "p", left: str = "i1", right: str = "i23") -> DataFrame:
+    """(left, the features of SINGLE) for a model of empty lists: scores of exclusive edges, blocking and the entity's own fields; absent is 0.
+
+    ``entities`` has the columns from f_core_s1_r on, ``candidates``: (left, right, blk, n_passes).
+    """
+    scores = entity_features(edges, p, left, right).drop("ncand")
+    blocked = candidates.groupBy(left).agg(F.count("*").alias("ncand"), F.max("blk").alias("blk_max"), F.max("n_passes").alias("npass_max"))
+    rows = entities.join(scores, left, "left").join(blocked, left, "left")
+    return rows.select(left, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SINGLE])
+
+
 def closure(edges: DataFrame, wanted: DataFrame, known: DataFrame, rank: str = "blk_rev_rank", k: int = 3, left: str = "i1", right: str = "i23") -> DataFrame:
     """Edges of the wanted entities, with the ``k`` best claims on the records in any wanted or known list, less the known entities' own."""
     lists = edges.join(wanted.select(left).unionByName(known.select(left)).distinct(), left, "left_semi").select(right).distinct()
@@ -134,5 +162,5 @@ def closure(edges: DataFrame, wanted: DataFrame, known: DataFrame, rank: str = "
 
 
 __all__ = [
-    "adaptive_lists", "best_other", "closure", "competition", "entity_features", "entropy_term", "list_features", "rerank_features", "score_spread", "top", "uncertain",
+    "adaptive_lists", "best_other", "closure", "competition", "entity_features", "entropy_term", "list_features", "mates", "rerank_features", "score_spread", "single_features", "top", "uncertain",
 ]

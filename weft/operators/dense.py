@@ -87,3 +87,25 @@ def add_dense(lexical: DataFrame, dense: DataFrame, k: int = 20, left: str = "i1
         .withColumn("drank", F.coalesce("drank", F.lit(99)))
         .withColumn("drev_rank", F.coalesce("drev_rank", F.lit(9)))
     )
+
+
+def pool(lexical: DataFrame, dense: DataFrame, k: int = 20, left: str = "i1", right: str = "i23") -> DataFrame:
+    """Lexical candidates with their dense ranks, and the pairs that only dense search found, with the size of the joint list.
+
+    Dense pairs are those of rank up to ``k`` or with a reverse hit; what a side
+    lacks stays null, but for ``in_lexical``, ``n_passes`` and ``p6`` of dense-only pairs, which are 0.
+    """
+    own = dense.where((F.col("drank") <= k) | F.col("drev_rank").isNotNull())
+    both = lexical.withColumn("in_lexical", F.lit(1)).join(own, [left, right], "full")
+    for c in {"n_passes", "p6"} & set(both.columns):
+        both = both.withColumn(c, F.when(F.col("in_lexical").isNull(), F.lit(0)).otherwise(F.col(c)))
+    both = both.withColumn("in_lexical", F.coalesce("in_lexical", F.lit(0)))
+    sizes = both.groupBy(left).agg(F.count("*").alias("n_cand"))
+    return both.drop("n_cand").join(sizes, left)
+
+
+def filled(pooled: DataFrame, k: int = 20) -> DataFrame:
+    """Dense columns as features: similarity -1, rank k + 1 and reverse rank 9 where a pair was not found."""
+    return pooled.withColumns(
+        {"dcos": F.coalesce("dcos", F.lit(-1.0)), "drank": F.coalesce("drank", F.lit(k + 1)), "drev_rank": F.coalesce("drev_rank", F.lit(9))}
+    )

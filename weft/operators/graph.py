@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from itertools import product
 from math import prod
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _checkpoints(spark: SparkSession) -> None:
@@ -16,6 +18,8 @@ def _checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints-{uuid.uuid4().hex}")
 
 
@@ -67,18 +71,64 @@ def clusters(links: DataFrame, cap: int = 8, levels: tuple = (0.95, 0.98, 0.99,
 
 def cluster_features(edges: DataFrame, clustered: DataFrame, p: str = "p", left: str = "i1", right: str = "i23") -> DataFrame:
     """Per (left, comp): size, sum, best, second best, mean and deviation of the scores; records without a cluster are their own."""
-    labelled = edges.join(clustered.withColumnRenamed("node", right), right, "left").withColumn("comp", F.coalesce("comp", F.col(right)))
-    return labelled.groupBy(left, "comp").agg(
+    own = _in_clusters(edges, clustered, left, right)
+    place = F.row_number().over(Window.partitionBy(left, "comp").orderBy(F.desc(p), F.col(right)))
+    return own.withColumn("__r", place).groupBy(left, "comp").agg(
         F.count("*").alias("n"),
         F.sum(p).alias("p_sum"),
         F.max(p).alias("p_max"),
         # with one record the second best is the best
-        F.coalesce(F.get(F.sort_array(F.collect_list(p), asc=False), F.lit(1)), F.max(p)).alias("p_second"),
+        F.coalesce(F.max(F.when(F.col("__r") == 2, F.col(p))), F.max(p)).alias("p_second"),
         F.avg(p).alias("p_mean"),
         F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("p_std"),
     )
 
 
+def _in_clusters(edges: DataFrame, clustered: DataFrame, left: str, right: str) -> DataFrame:
+    return edges.join(clustered.withColumnRenamed("node", right), right, "left").withColumn("comp", F.coalesce("comp", F.col(right)))
+
+
+def cluster_family(
+    edges: DataFrame, clustered: DataFrame, links: DataFrame, best: dict[str, str], second_source: Column, soft: float = 0.5,
+    p: str = "p", left: str = "i1", right: str = "i23",
+) -> DataFrame:
+    """The edges with their cluster's features in their list.
+
+    Size of the cluster, its records in the list and whether they are of both
+    sources, the best other score, mean and deviation, the best value of each
+    column of ``best``, and by soft links (left, x, y, p_link): the best
+    inherited score, their number and the strongest.
+    """
+    own = _in_clusters(edges.withColumn("__s", second_source.cast("int")), clustered, left, right)
+    size = clustered.groupBy("comp").agg(F.count("*").alias("cl_size"))
+    base = cluster_features(edges, clustered, p, left, right)
+    more = own.groupBy(left, "comp").agg(F.sum("__s").alias("__s3"), *[F.max(c).alias(f"cl_best_{n}") for n, c in best.items()])
+    ways = links.where(F.col("p_link") >= soft)
+    both = ways.select(left, F.col("x").alias(right), F.col("y").alias("__m"), "p_link").unionByName(
+        ways.select(left, F.col("y").alias(right), F.col("x").alias("__m"), "p_link")
+    )
+    mates = edges.select(left, F.col(right).alias("__m"), F.col(p).alias("__p"))
+    linked = both.join(mates, [left, "__m"]).groupBy(left, right).agg(
+        F.max(F.col("p_link") * F.col("__p")).alias("cl_inherit"), F.count("*").alias("cl_soft_n"), F.max("p_link").alias("cl_link_max")
+    )
+    rows = own.join(base, [left, "comp"]).join(more, [left, "comp"]).join(size, "comp", "left").join(linked, [left, right], "left")
+    other = F.when(F.col("n") <= 1, F.lit(-1.0)).when(F.col(p) >= F.col("p_max"), F.col("p_second")).otherwise(F.col("p_max"))
+    return rows.select(
+        left,
+        right,
+        F.coalesce("cl_size", F.lit(1)).alias("cl_size"),
+        F.col("n").alias("cl_in_list"),
+        ((F.col("__s3") > 0) & (F.col("__s3") < F.col("n"))).cast("int").alias("cl_src_mix"),
+        other.alias("cl_p_max_other"),
+        F.col("p_mean").alias("cl_p_mean"),
+        F.col("p_std").alias("cl_p_std"),
+        *[f"cl_best_{n}" for n in best],
+        F.coalesce("cl_inherit", F.lit(0.0)).alias("cl_inherit"),
+        F.coalesce("cl_soft_n", F.lit(0)).alias("cl_soft_n"),
+        F.coalesce("cl_link_max", F.lit(0.0)).alias("cl_link_max"),
+    )
+
+
 def sizes(edges: DataFrame, left: str = "i1", right: str = "i23") -> DataFrame:
     """(comp, n_left, n_right, n_edges) of the components of a bipartite graph."""
     tagged = edges.select(F.concat(F.lit("a"), F.col(left).cast("string")).alias("u"), F.concat(F.lit("b"), F.col(right).cast("string")).alias("v"))
@@ -90,67 +140,80 @@ def sizes(edges: DataFrame, left: str = "i1", right: str = "i23") -> DataFrame:
     return nodes.join(counted, "comp")
 
 
+def _best_prefix(available: list[float], rest: float) -> float:
+    """The largest expected F0.5 of the first k of an entity's available records; ``rest``: expected matches elsewhere."""
+    ps = sorted(available, reverse=True)
+    best, unseen, dist = prod(1 - q for q in ps) * math.exp(-rest), sum(ps) + rest, [1.0]
+    for k, q in enumerate(ps, 1):
+        dist = [(dist[t] if t < k else 0.0) * (1 - q) + (dist[t - 1] * q if t else 0.0) for t in range(k + 1)]
+        unseen -= q
+        best = max(best, sum(w * 5 * t / (5 * t + max(unseen, 0.0) + 4 * (k - t)) for t, w in enumerate(dist) if t))
+    return best
+
+
 def _value(owner: dict, lists: dict) -> float:
-    """Sum of expected F0.5 of the entities if each record belongs to its owner (None: to nobody)."""
+    """Sum of the entities' best expected F0.5 if each record is open to its owner alone (None: to nobody)."""
     total = 0.0
     for entity, ps in lists.items():
-        taken = [q for r, q in ps.items() if owner.get(r) == entity]
-        if not taken:
-            total += prod(1 - q for q in ps.values())  # right if none is true
-            continue
-        dist = [1.0]
-        for q in taken:
-            dist = [(dist[t] if t < len(dist) else 0.0) * (1 - q) + (dist[t - 1] * q if t else 0.0) for t in range(len(dist) + 1)]
-        rest = sum(ps.values()) - sum(taken)
-        total += sum(w * 5 * t / (5 * t + rest + 4 * (len(taken) - t)) for t, w in enumerate(dist) if t)
+        own = [q for r, q in ps.items() if owner.get(r) == entity]
+        total += _best_prefix(own, sum(ps.values()) - sum(own))
     return total
 
 
-def assign(edges: pd.DataFrame, most: int = 256) -> pd.DataFrame:
-    """Owners of one component's records: all configurations if there are at most ``most``, else best responses twice over."""
+def assign(edges: pd.DataFrame, most: int = 256, most_shared: int = 40) -> pd.DataFrame:
+    """Owners of one component's records; only records that several entities claim are to be decided.
+
+    All their configurations are tried if there are at most ``most``; else best
+    responses twice over, unless more than ``most_shared`` are shared: then
+    each goes to its best claim. A record that one entity claims is its own.
+    An entity is worth the best expected F0.5 of the first k of its records.
+    """
     claims: dict = {}
     lists: dict = {}
     for a, b, q in zip(edges["i1"], edges["i23"], edges["p"], strict=True):
         claims.setdefault(b, []).append((q, a))
         lists.setdefault(a, {})[b] = q
     records = sorted(claims)
-    options = [[a for _, a in sorted(claims[r], key=lambda c: (-c[0], c[1]))] + [None] for r in records]
-    n = 1
-    for o in options:
-        n *= len(o)
-        if n > most:
-            break
-    if n <= most:
-        owner = max((dict(zip(records, o, strict=True)) for o in product(*options)), key=lambda o: _value(o, lists))
-    else:
-        owner = {r: o[0] for r, o in zip(records, options, strict=True)}
+    options = {r: [a for _, a in sorted(claims[r], key=lambda c: (-c[0], c[1]))] for r in records}
+    shared = [r for r in records if len(options[r]) > 1]
+    owner = {r: options[r][0] for r in records}
+    ways = prod(len(options[r]) + 1 for r in shared[:most_shared]) if len(shared) <= most_shared else most + 1
+    if ways <= most:
+        tried = (dict(zip(shared, o, strict=True)) for o in product(*[[*options[r], None] for r in shared]))
+        owner |= max(tried, key=lambda o: _value({**owner, **o}, lists))
+    elif len(shared) <= most_shared:
         for _ in range(2):
-            for r, own in zip(records, options, strict=True):
-                near = {a for a in own if a is not None}
-                part = {a: lists[a] for a in near}
-                owner[r] = max(own, key=lambda a, r=r, part=part: _value({**owner, r: a}, part))
+            for r in shared:
+                part = {a: lists[a] for a in options[r]}
+                owner[r] = max([*options[r], None], key=lambda a, r=r, part=part: _value({**owner, r: a}, part))
     rows = [(a, r, lists[a][r]) for r, a in owner.items() if a is not None]
     return pd.DataFrame(rows, columns=["i1", "i23", "p"])
 
 
-def solve(edges: DataFrame, floor: float = 0.02, most: int = 256, largest: int = 400) -> DataFrame:
-    """Exclusive edges (i1, i23, p): components of at most ``largest`` edges by ``assign``, larger ones by the best claim."""
+def solve(edges: DataFrame, floor: float = 0.02, most: int = 256, most_shared: int = 40) -> DataFrame:
+    """Exclusive edges (i1, i23, p): components with at most ``most_shared`` shared records by ``assign``, others by the best claim.
+
+    A task gets the lists of one component in which a record is shared; they
+    are as many as its entities have, which the shared records bound.
+    """
     from weft.operators.decide import exclusive
 
     kept = edges.where(F.col("p") >= floor)
-    tagged = kept.select(F.concat(F.lit("a"), F.col("i1").cast("string")).alias("u"), F.concat(F.lit("b"), F.col("i23").cast("string")).alias("v"))
-    labels = components(tagged).where(F.col("node").startswith("a"))
-    own = kept.join(labels, F.concat(F.lit("a"), F.col("i1").cast("string")) == F.col("node")).select("comp", "i1", "i23", "p")
-    counts = own.groupBy("comp").agg(F.count("*").alias("n"))
-    small = own.join(counts.where(F.col("n") <= largest), "comp", "left_semi")
-    large = own.join(counts.where(F.col("n") > largest), "comp", "left_semi")
+    claimed = kept.groupBy("i23").agg(F.count("*").alias("n")).where("n > 1").select("i23")
+    disputed = kept.join(claimed, "i23", "left_semi")
+    tagged = disputed.select(F.concat(F.lit("a"), F.col("i1").cast("string")).alias("u"), F.concat(F.lit("b"), F.col("i23").cast("string")).alias("v"))
+    labels = components(tagged)
+    counts = labels.where(F.col("node").startswith("b")).groupBy("comp").agg(F.count("*").alias("shared"))
+    small = labels.where(F.col("node").startswith("a")).join(counts.where(F.col("shared") <= most_shared), "comp", "left_semi")
+    own = kept.join(small, F.concat(F.lit("a"), F.col("i1").cast("string")) == F.col("node")).select("comp", "i1", "i23", "p")
+    rest = kept.join(small.select(F.col("node").alias("__n")), F.concat(F.lit("a"), F.col("i1").cast("string")) == F.col("__n"), "left_anti")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return assign(frame, most)
+        return assign(frame, most, most_shared)
 
     kinds = dict(edges.dtypes)
-    solved = small.groupBy("comp").applyInPandas(run, f"i1 {kinds['i1']}, i23 {kinds['i23']}, p double")
-    return solved.unionByName(exclusive(large.drop("comp")))
+    solved = own.groupBy("comp").applyInPandas(run, f"i1 {kinds['i1']}, i23 {kinds['i23']}, p double")
+    return solved.unionByName(exclusive(rest))
 
 
 def record_pairs(edges: DataFrame, most: int = 8, least: float = 0.05, left: str = "i1", right: str = "i23", p: str = "p") -> DataFrame:
@@ -161,4 +224,4 @@ def record_pairs(edges: DataFrame, most: int = 8, least: float = 0.05, left: str
     return best.withColumnRenamed(right, "x").join(best.withColumnRenamed(right, "y"), left).where("x < y")
 
 
-__all__ = ["assign", "cluster_features", "clusters", "components", "cut", "record_pairs", "sizes", "solve"]
+__all__ = ["assign", "cluster_family", "cluster_features", "clusters", "components", "cut", "record_pairs", "sizes", "solve"]

@@ -42,11 +42,12 @@ def calibration_error(table: DataFrame) -> DataFrame:
 
 
 def bootstrap(scores: DataFrame, a: str, b: str, key: str, rounds: int = 200) -> DataFrame:
-    """(mean, low, high) of the mean difference a - b: 95 % interval of a Poisson bootstrap whose draws are hashes of the key."""
+    """(mean, low, high) of the mean difference a - b: 95 % interval of a Poisson bootstrap whose draws are MD5 hashes of the key."""
     # a Poisson(1) number of times, by inversion of a uniform number
     limits = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     def draw(r: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.col(key), r), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), r.cast("string")).cast("binary"))
+        u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
         return sum(((u >= x).cast("int") for x in limits), F.lit(0))
 
     diff = F.col(a) - F.col(b)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weft.functions import similarity as S
 from weft.functions import text as X
@@ -12,61 +12,92 @@ from weft.operators.parse import UNIT_MARKS
 
 #: Canonical tokens are never replaced.
 PROTECTED = frozenset(X.WORD_FORMS.values()) | UNIT_MARKS | X.LEGAL_FORMS | X.STOP_WORDS
-PAIRS = T.ArrayType(T.StructType([T.StructField("x", T.StringType()), T.StructField("y", T.StringType())]))
 
 
-def _differing(own: list[str], other: list[str]) -> list[str]:
-    seen = set(other)
-    return [t for t in own if t and t not in seen and not any(c.isdigit() for c in t)]
+#: Longest names whose words are compared place by place, and the least closeness of a pair.
+PLACES, LEAST = 3, 0.85
 
 
-def _alike(x: str, y: str) -> bool:
-    """Long enough, and spelled alike by sound."""
+def _sound_alike(x: str, y: str) -> float:
+    """Closeness by sound; 0 for words too short to tell."""
     a, b = X.sound_key(x), X.sound_key(y)
-    return min(len(x), len(y), len(a), len(b)) >= 3 and S.jaro_winkler(a, b) >= 0.85
+    return S.jaro_winkler(a, b) if min(map(len, (x, y, a, b))) >= 3 else 0.0
 
 
-def _closeness(x: str, y: str) -> float:
-    short = S.is_abbreviation(x, y) or S.is_abbreviation(y, x)
-    return max(S.jaro_winkler(x, y), 0.95 if short else 0.0)
+def _spelled_alike(x: str, y: str) -> float:
+    short, long = sorted((x, y), key=len)
+    return max(S.jaro_winkler(x, y), 0.95 * S.is_abbreviation(short, long))
 
 
-def align(a: list[str], b: list[str], positional: int = 3, least: float = 0.85) -> list[tuple[str, str]]:
-    """Pairs of words that stand for each other: by place in short names of one length, else by the closest left."""
-    left, right = _differing(a, b), _differing(b, a)
-    if len(left) == len(right) <= positional:
-        return [(min(p), max(p)) for p in zip(left, right, strict=True) if _alike(*p)]
-    found = []
-    for x in left:
-        best = max(right, key=lambda y, x=x: _closeness(x, y), default=None)
-        if best is not None and _closeness(x, best) >= least:
-            found.append((min(x, best), max(x, best)))
-            right.remove(best)
-    return found
+def closeness(left: Column, right: Column) -> Column:
+    """array<array<double>>: how close each left word is to each right one.
+
+    Few words of equal number are only close to the one in the same place, by sound.
+    """
+
+    @F.pandas_udf("array<array<double>>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        def table(a, b) -> list[list[float]]:
+            if len(a) == len(b) <= PLACES:
+                return [[_sound_alike(p, q) if i == j else 0.0 for j, q in enumerate(b)] for i, p in enumerate(a)]
+            return [[_spelled_alike(p, q) for q in b] for p in a]
+
+        return pd.Series([table(a, b) for a, b in zip(x, y, strict=True)], dtype=object)
+
+    return run(left, right)
+
+
+def aligned(pairs: DataFrame, a: str, b: str, out: str = "aligned") -> DataFrame:
+    """Add ``out``, array<struct<x, y>>: words of two arrays that stand for each other, x < y.
+
+    Words in both, and words with digits, take no part. The words of ``a``
+    choose in turn, each the closest word of ``b`` that is free (of equals the
+    first), if it is close enough. Null arrays count as empty.
+    """
+    none = F.array().cast("array<string>")
+    own, other = F.coalesce(F.col(a), none), F.coalesce(F.col(b), none)
+
+    def differing(words: Column, seen: Column) -> Column:
+        return F.filter(words, lambda t: (t != "") & ~F.array_contains(seen, t) & ~t.rlike("[0-9]"))
+
+    df = pairs.withColumns({"__l": differing(own, other), "__r": differing(other, own)})
+    df = df.withColumn("__c", closeness(F.col("__l"), F.col("__r")))
+    free = F.transform("__r", lambda t, j: j)
+    start = F.struct(free.alias("free"), F.array().cast("array<struct<x:string,y:string>>").alias("made"))
 
+    def choose(state: Column, i: Column) -> Column:
+        offers = F.transform(state["free"], lambda j: F.struct(F.get(F.get("__c", i), j).alias("close"), (-j).alias("place")))
+        best = F.array_max(offers)
+        x, y = F.get("__l", i), F.get("__r", -best["place"])
+        pair = F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+        taken = F.struct(
+            F.filter(state["free"], lambda j: j != -best["place"]).alias("free"), F.concat(state["made"], F.array(pair)).alias("made")
+        )
+        return F.when(best["close"] >= LEAST, taken).otherwise(state)
 
-def segments_alike(x: str, y: str) -> bool:
-    """One is the other's initials or abbreviation, or they sound alike."""
-    a, b = x.replace(" ", ""), y.replace(" ", "")
-    starts = ["".join(w[0] for w in s.split()) for s in (x, y)]
-    short, long = sorted((a, b), key=len)
-    spoken = min(len(a), len(b)) >= 4 and S.jaro_winkler(X.sound_key(a), X.sound_key(b)) >= 0.85
-    return starts[0] == b or starts[1] == a or S.is_abbreviation(short, long) or spoken
+    places = F.transform("__l", lambda t, i: i)
+    return df.withColumn(out, F.aggregate(places, start, choose)["made"]).drop("__l", "__r", "__c")
 
 
-def aligned(a: Column, b: Column) -> Column:
-    """array<struct<x, y>> of two word arrays."""
+def segments_alike(x: Column, y: Column) -> Column:
+    """Whether two segments are one: initials or an abbreviation of the other, or alike by sound."""
+    a, b = F.replace(x, F.lit(" "), F.lit("")), F.replace(y, F.lit(" "), F.lit(""))
+    initials = lambda s: F.array_join(F.transform(F.split(s, " +"), lambda w: F.substring(w, 1, 1)), "")
 
-    @F.udf(PAIRS, useArrow=True)
-    def run(x, y):
-        return align(list(x or []), list(y or []))
+    def abbreviates(short: Column, long: Column) -> Column:
+        inside = F.concat(F.lit("^"), F.array_join(F.split(short, ""), ".*"))
+        fits = (F.length(short) >= 1) & (F.length(short) <= 5) & (F.length(short) < F.length(long)) & short.rlike("^[a-z0-9]*$")
+        return F.when(fits, F.rlike(long, inside)).otherwise(F.lit(False))
 
-    return run(a, b)
+    sounds = S.of_columns(S.jaro_winkler, X.sound_key_col(a), X.sound_key_col(b))
+    spoken = (F.least(F.length(a), F.length(b)) >= 4) & (sounds >= LEAST)
+    return (initials(x) == b) | (initials(y) == a) | abbreviates(a, b) | abbreviates(b, a) | spoken
 
 
 def counts(pairs: DataFrame, a: str, b: str, label: str = "cty") -> DataFrame:
     """(label, x, y, k): how often two words stand for each other."""
-    return pairs.select(label, F.explode(aligned(F.col(a), F.col(b))).alias("p")).groupBy(label, "p.x", "p.y").agg(F.count("*").alias("k"))
+    found = aligned(pairs.select(label, a, b), a, b).select(label, F.explode("aligned").alias("p"))
+    return found.groupBy(label, "p.x", "p.y").agg(F.count("*").alias("k"))
 
 
 def with_lift(positive: DataFrame, negative: DataFrame, n_positive: int, n_negative: int, keys: list[str], support: int = 5) -> DataFrame:
@@ -77,14 +108,12 @@ def with_lift(positive: DataFrame, negative: DataFrame, n_positive: int, n_negat
 
 
 def similar(x: Column, y: Column) -> Column:
-    @F.udf(T.BooleanType(), useArrow=True)
-    def run(a, b):
-        if " " in a + b:
-            return False
-        close = min(len(a), len(b)) >= 3 and S.jaro_winkler(a, b) >= 0.85
-        return close or S.is_abbreviation(a, b) or S.is_abbreviation(b, a)
-
-    return run(x, y)
+    """Whether two single words are spelled alike or one abbreviates the other."""
+    short = F.least(F.length(x), F.length(y)) < 3
+    close = S.of_columns(lambda a, b: _spelled_alike(a, b), x, y)
+    abbreviation = S.of_columns(lambda a, b: float(S.is_abbreviation(*sorted((a, b), key=len))), x, y)
+    single = ~F.contains(F.concat(x, y), F.lit(" "))
+    return single & ((~short & (close >= LEAST)) | (abbreviation > 0))
 
 
 def canonical(lifted: DataFrame, frequency: DataFrame, label: str = "cty", least: float = 10.0, least_similar: float = 2.0) -> DataFrame:
@@ -114,6 +143,37 @@ def canonical(lifted: DataFrame, frequency: DataFrame, label: str = "cty", least
     return best.join(chained, [label, "form"], "left_anti").where("form <> variant").select(label, "variant", "form")
 
 
+def tables(
+    positive: DataFrame, negative: DataFrame, a: str, b: str, label: str = "cty", support: int = 5, least: float = 10.0, least_similar: float = 2.0
+) -> DataFrame:
+    """(label, variant, form) mined from pairs of word arrays that do and do not match, for each label and '*' for all.
+
+    A label's own form of a word overrides that of all labels.
+    """
+    found = []
+    for name in (label, "*"):
+        own = [p.withColumn(label, F.lit("*")) if name == "*" else p for p in (positive, negative)]
+        sizes = [p.groupBy(label).agg(F.count("*").alias(n)) for p, n in zip(own, ("n_pos", "n_neg"), strict=True)]
+        yes, no = (counts(p, a, b, label) for p in own)
+        rows = yes.where(F.col("k") >= support).join(no.withColumnRenamed("k", "neg"), [label, "x", "y"], "left").na.fill(0, ["neg"])
+        rows = rows.join(F.broadcast(sizes[0]), label).join(F.broadcast(sizes[1]), label)  # as many rows as labels
+        lifted = rows.withColumn("lift", (F.col("k") / F.col("n_pos")) / ((F.col("neg") + 0.5) / F.col("n_neg")))
+        words = [p.select(F.explode(c).alias("token")) for p in own for c in (a, b)]
+        every = words[0]
+        for w in words[1:]:
+            every = every.unionByName(w)
+        found.append(canonical(lifted, every.groupBy("token").agg(F.count("*").alias("n")), label, least, least_similar))
+    return found[0].unionByName(found[1])
+
+
+def forms_of(mined: DataFrame, label: str = "cty") -> dict[str, dict[str, str]]:
+    """{label: {variant: form}} of a mined table, which is bounded by its support; labels inherit the forms of '*'."""
+    out: dict[str, dict[str, str]] = {}
+    for r in mined.collect():
+        out.setdefault(r[label], {})[r["variant"]] = r["form"]
+    return {name: {**out.get("*", {}), **own} for name, own in out.items()}
+
+
 def seeds(candidates: DataFrame, left: DataFrame, right: DataFrame, label: str = "cty", least: float = 0.9) -> DataFrame:
     """Sure pairs without labels: each other's best candidate, with the same words or the same house and a close name.
 

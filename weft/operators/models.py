@@ -10,6 +10,7 @@ from pyspark.ml.linalg import Matrices
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FOLDS = 5
 
@@ -32,16 +33,16 @@ def role(entity: Column, ranges: dict[str, tuple[float, float]], rest: str = "co
 
 
 def _probability(rows: DataFrame, out: str) -> DataFrame:
-    return rows.withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop("probability", "rawPrediction", "prediction", "x", "raw")
+    return rows.withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop("probability", "rawPrediction", "prediction", "__x", "__raw")
 
 
 def scorer(rows: DataFrame, features: list[str], label: str = "y", iterations: int = 100):
     """Standardised logistic regression; returns rows -> rows with ``out``."""
     model = Pipeline(
         stages=[
-            VectorAssembler(inputCols=features, outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="x", withMean=True),
-            LogisticRegression(featuresCol="x", labelCol=label, maxIter=iterations, regParam=1e-4),
+            VectorAssembler(inputCols=features, outputCol="__raw"),
+            StandardScaler(inputCol="__raw", outputCol="__x", withMean=True),
+            LogisticRegression(featuresCol="__x", labelCol=label, maxIter=iterations, regParam=1e-4),
         ]
     ).fit(rows.withColumn(label, F.col(label).cast("double")))
     return lambda more, out="p": _probability(model.transform(more), out)
@@ -52,9 +53,9 @@ def monotone(rows: DataFrame, features: list[str], rising: list[str], label: str
     low = [0.0 if f in rising else -1e6 for f in features]
     model = Pipeline(
         stages=[
-            VectorAssembler(inputCols=features, outputCol="x"),
+            VectorAssembler(inputCols=features, outputCol="__x"),
             LogisticRegression(
-                featuresCol="x", labelCol=label, maxIter=iterations, lowerBoundsOnCoefficients=Matrices.dense(1, len(features), low)
+                featuresCol="__x", labelCol=label, maxIter=iterations, lowerBoundsOnCoefficients=Matrices.dense(1, len(features), low)
             ),
         ]
     ).fit(rows.withColumn(label, F.col(label).cast("double")))
@@ -65,8 +66,8 @@ def boosted(rows: DataFrame, features: list[str], label: str = "y", trees: int =
     """Gradient-boosted trees."""
     model = Pipeline(
         stages=[
-            VectorAssembler(inputCols=features, outputCol="x"),
-            GBTClassifier(featuresCol="x", labelCol=label, maxIter=trees, maxDepth=depth, seed=0),
+            VectorAssembler(inputCols=features, outputCol="__x"),
+            GBTClassifier(featuresCol="__x", labelCol=label, maxIter=trees, maxDepth=depth, seed=0),
         ]
     ).fit(rows.withColumn(label, F.col(label).cast("double")))
     return lambda more, out="p": _probability(model.transform(more), out)
@@ -100,11 +101,30 @@ def cross_isotonic(rows: DataFrame, entity: str, p: str = "p", y: str = "y", out
     return out_of_fold(rows, entity, lambda kept: isotonic(kept, p, y), out)
 
 
-def auc(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """Area under the ROC curve by the counts of each score: ties count half."""
-    from pyspark.sql.window import Window
+def auc(rows: DataFrame, p: str = "p", y: str = "y", bands: int = 1024) -> DataFrame:
+    """Area under the ROC curve by the counts of each score in [0, 1]: ties count half.
 
+    Scores are dealt to ``bands`` of equal width: negatives below a score are
+    those of lower bands, and those below it in its own, so no task orders all.
+    """
     counts = rows.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    summed = counts.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    counts = counts.withColumn("band", F.least(F.greatest(F.floor(F.col("p") * bands), F.lit(0)), F.lit(bands - 1)))
+    totals = counts.groupBy("band").agg(F.sum("neg").alias("all"))  # at most `bands` rows
+    before = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    lower = totals.select("band", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("lower"))
+    below = Window.partitionBy("band").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    summed = counts.join(F.broadcast(lower), "band").withColumn("under", F.col("lower") + F.coalesce(F.sum("neg").over(below), F.lit(0)))
     return summed.agg((F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+
+
+def early_stopped(rows: DataFrame, features: list[str], held: Column, label: str = "y", trees: int = 100, depth: int = 4):
+    """(boosted trees that stop when the held rows no longer gain, their number)."""
+    marked = rows.withColumn(label, F.col(label).cast("double")).withColumn("__held", held)
+    gbt = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=trees, maxDepth=depth, seed=0, validationIndicatorCol="__held", validationTol=0.001)
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), gbt]).fit(marked)
+    return (lambda more, out="p": _probability(model.transform(more), out)), model.stages[-1].getNumTrees
+
+
+def final_length(best: list[int], least: int = 50, factor: float = 1.1) -> int:
+    """Rounds of the model of all rows: a little more than the folds needed."""
+    return max(least, int(factor * sum(best) / max(1, len(best))))

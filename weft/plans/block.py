@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import blocking, context
+from weft.operators import blocking, context, graph
 
 # Candidates kept and share of the pool that a key may have, of every pass.
 TOP = {"p1": 30, "p2": 20, "p3": 20, "p5": 15, "p7": 20}
@@ -78,6 +78,7 @@ def block(left: DataFrame, right: DataFrame, key: str = "id", label: str = "cty"
     ranks = [f"rank_{name}" for name in TOP]
     wide = wide.withColumn("best_rank", F.coalesce(F.least(*ranks, "rev_rank"), F.lit(1 << 20)))
     if mates:
+        wide = graph.cut(wide)  # it is read three times below
         long_enough = F.when((F.size("core") >= 2) | (F.length("k_joined") >= 6), F.col("k_sorted")).otherwise("")
         groups = blocking.duplicate_groups(b, "i23", long_enough, label=label)
         seeded = (F.coalesce("n_passes", F.lit(0)) >= 2) | (F.least("rank_p1", "rank_p2") <= 3)

@@ -424,9 +424,9 @@ def context_features(spark, sf):
     )
 
 
-@_query(f"""WITH {_EDGES}, {_RANKED}, f AS (SELECT a.i1, a.i23, a.p, b.i23 AS mate, b.p AS m_p FROM ranked a
-LEFT JOIN ranked b ON a.i1 = b.i1 AND b.r = CASE WHEN a.r = 1 THEN 2 ELSE 1 END), s AS (SELECT i1, count(*) FILTER (p >= 0.5) AS k FROM edges GROUP BY 1)
-SELECT i1, i23, mate, m_p, k - CAST(p >= 0.5 AS INTEGER) AS m_n_strong FROM f JOIN s USING (i1)""")
+@_query(f"""WITH {_EDGES}, {_RANKED} SELECT i1, i23, CASE WHEN r = 1 THEN max(i23) FILTER (r = 2) OVER w ELSE max(i23) FILTER (r = 1) OVER w END AS mate,
+CASE WHEN r = 1 THEN max(p) FILTER (r = 2) OVER w ELSE max(p) FILTER (r = 1) OVER w END AS m_p,
+count(*) FILTER (p >= 0.5) OVER w - CAST(p >= 0.5 AS INTEGER) AS m_n_strong FROM ranked WINDOW w AS (PARTITION BY i1)""")
 def best_mate(spark, sf):
     return context.best_other(R.scored_edges(spark, sf)).select("i1", "i23", "mate", "m_p", "m_n_strong")
 
@@ -558,7 +558,22 @@ def expected_f_two(spark, sf):
     return decide.expected_f(_order_edges(spark, sf), 0.1, 2).select("i1", "n_selected", F.round("expected", 5).alias("expected"))
 
 
-@_query()
+_ORDER_EDGES = "e AS (SELECT o_custkey AS i1, o_orderkey AS i23, round(o_totalprice / 600000, 6) AS p FROM orders)"
+
+
+def _prefix_sql(floor: float, most: int) -> str:
+    """Views: tops (ranked edges), s (distributions of the first k), v (their expected F0.5)."""
+    return f"""{_ORDER_EDGES}, tot AS (SELECT i1, sum(p) AS total FROM e GROUP BY 1),
+tops AS (SELECT i1, i23, p, row_number() OVER (PARTITION BY i1 ORDER BY p DESC, i23) AS r FROM e WHERE p >= {floor}),
+l AS (SELECT i1, any_value(total) AS total, list(p ORDER BY r) AS ps FROM tops JOIN tot USING (i1) WHERE r <= {most} GROUP BY 1),
+s AS (SELECT i1, ps, total, 0 AS k, [1.0]::DOUBLE[] AS dist, 0.0::DOUBLE AS taken FROM l
+UNION ALL SELECT i1, ps, total, k + 1, list_transform(range(1, k + 3), lambda t: (CASE WHEN t <= k + 1 THEN dist[t] ELSE 0 END) * (1 - ps[k + 1]) + (CASE WHEN t > 1 THEN dist[t - 1] * ps[k + 1] ELSE 0 END)),
+taken + ps[k + 1] FROM s WHERE k < len(ps)),
+v AS (SELECT i1, k, list_sum(list_transform(range(1, k + 1), lambda t: dist[t + 1] * 5 * t / (5 * t + greatest(total - taken, 0) + 4 * (k - t)))) AS v FROM s WHERE k > 0)"""
+
+
+@_query(f"""WITH RECURSIVE {_prefix_sql(0.1, 10)}, b AS (SELECT i1, arg_min(k, (-v, k)) AS k FROM v WHERE v > 0.5 GROUP BY 1)
+SELECT i1, i23, p FROM tops JOIN b USING (i1) WHERE r <= k""")
 def expected_f_select(spark, sf):
     edges = _order_edges(spark, sf)
     return decide.select_top(edges, decide.expected_f(edges), 0.1)
@@ -599,7 +614,21 @@ def cluster_features(spark, sf):
     return rows.select("i1", "comp", "n", _r("p_sum", "p_sum"), "p_max", "p_second", _r("p_mean", "p_mean"), _r("p_std", "p_std"))
 
 
-@_query()
+def _closed(i: int, links: str) -> str:
+    """Views of the components of the pairs (x, y) of a view."""
+    return f"""b{i} AS (SELECT x AS a, y AS b FROM {links} UNION SELECT y, x FROM {links}),
+reach{i} AS (SELECT a AS node, a AS comp FROM b{i} UNION SELECT b{i}.b, r.comp FROM reach{i} r JOIN b{i} ON b{i}.a = r.node),
+c{i} AS (SELECT node, min(comp) AS comp FROM reach{i} GROUP BY 1), n{i} AS (SELECT comp, count(*) AS n FROM c{i} GROUP BY 1)"""
+
+
+_CAPPED = ", ".join(
+    f"rest{i} AS (SELECT * FROM {'links' if i == 1 else f'rest{i - 1} WHERE x IN (SELECT node FROM c{i - 1} JOIN n{i - 1} USING (comp) WHERE n > 8)'}), "
+    f"l{i} AS (SELECT x, y FROM rest{i} WHERE p_link >= {level}), {_closed(i, f'l{i}')}"
+    for i, level in enumerate((0.9995, 0.9999, 0.99995), 1)
+)
+
+
+@_query(f"WITH RECURSIVE {_EDGES}, {_RANKED}, {_LINKS}, {_CAPPED} " + " UNION ALL ".join(f"SELECT node, comp FROM c{i} JOIN n{i} USING (comp) WHERE n <= 8" for i in (1, 2, 3)))
 def capped_clusters(spark, sf):
     return graph.clusters(_links(spark, sf), 8, (0.9995, 0.9999, 0.99995))
 
@@ -615,9 +644,10 @@ def component_sizes(spark, sf):
     return graph.sizes(R.scored_edges(spark, sf).where("p >= 0.985"))
 
 
-@_query()
+@_query(f"WITH {_EDGES} SELECT i1, i23, p FROM edges WHERE p >= 0.02 QUALIFY row_number() OVER (PARTITION BY i23 ORDER BY p DESC, i1) = 1")
 def component_assignment(spark, sf):
-    return graph.solve(R.scored_edges(spark, sf).where("p >= 0.985"), largest=60)
+    """All edges are one component with many shared records here, so each record goes to its best claim; tests hold smaller ones against all ways."""
+    return graph.solve(R.scored_edges(spark, sf))
 
 
 @_query(f"""WITH {_EDGES}, a AS (SELECT i1, i23 FROM edges WHERE p >= 0.8), b AS (SELECT i1, i23 FROM edges QUALIFY row_number() OVER (PARTITION BY i1 ORDER BY p DESC, i23) <= 30),
@@ -711,10 +741,13 @@ def calibration_error(spark, sf):
     return metrics.calibration_error(metrics.reliability(_labelled(spark, sf))).select(_r("ece", "ece"))
 
 
-@_query()
+@_query(f"""WITH {_SCORES}, rounds AS (SELECT i1, f05, r, ('0x' || substr(md5(i1 || ':' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM f, range(200) t(r)),
+w AS (SELECT r, f05, list_sum(list_transform([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]::DOUBLE[],
+lambda x: CAST(u >= x AS INTEGER))) AS w FROM rounds), m AS (SELECT r, sum(w * f05) / nullif(sum(w), 0) AS m FROM w GROUP BY 1)
+SELECT round((SELECT avg(f05) FROM f), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_interval(spark, sf):
     scores = _scores(spark, sf).withColumn("zero", F.lit(0.0))
-    return metrics.bootstrap(scores, "f05", "zero", "i1")
+    return metrics.bootstrap(scores, "f05", "zero", "i1").select(_r("mean", "mean"), _r("low", "low"), _r("high", "high"))
 
 
 @_query(f"""WITH {_EDGES}, {_RANKED}, s AS (SELECT i1, sum(p) AS psum, count(*) FILTER (p >= 0.5) AS n05, count(*) FILTER (p >= 0.8) AS n08, count(*) AS ncand FROM edges GROUP BY 1),
@@ -758,10 +791,23 @@ def shift_monitor(spark, sf):
     return rows.select("feature", F.round("mean_before", 4).alias("mean_before"), F.round("mean_after", 4).alias("mean_after"), _r("shift", "shift"))
 
 
-@_query()
+_RULES = [(0.0, 1.0), *[(m, q) for m in (0.05, 0.1, 0.2) for q in (1.0, 0.9, 0.75)]]
+_THRESHOLDS = [round(0.3 + 0.05 * i, 2) for i in range(14)]
+
+
+@_query(f"""WITH {_EDGES}, {_TRUTH}, rules AS (SELECT * FROM (VALUES {", ".join(f"({m}::DOUBLE, {q}::DOUBLE)" for m, q in _RULES)}) t(margin, penalty)),
+claims AS (SELECT i1, i23, p, lead(p) OVER (PARTITION BY i23 ORDER BY p DESC, i1) AS p2 FROM edges QUALIFY row_number() OVER (PARTITION BY i23 ORDER BY p DESC, i1) = 1),
+own AS (SELECT margin, penalty, i1, i23, CASE WHEN p2 IS NOT NULL AND p - p2 < margin THEN p * penalty ELSE p END AS p FROM claims, rules),
+g AS (SELECT unnest({_THRESHOLDS}::DOUBLE[]) AS threshold),
+m AS (SELECT margin, penalty, threshold, o.i1, count(*) AS n, count(t.i1) AS tp FROM g JOIN own o ON o.p >= threshold LEFT JOIN truth t ON t.i1 = o.i1 AND t.i23 = o.i23 GROUP BY 1, 2, 3, 4),
+k AS (SELECT i1, count(*) AS nt FROM truth GROUP BY 1), n AS (SELECT margin, penalty, threshold, s_suppkey AS i1 FROM rules, g, supplier)
+SELECT margin, penalty, threshold, round(avg(CASE WHEN coalesce(n, 0) = 0 AND coalesce(nt, 0) = 0 THEN 1 ELSE 5 * coalesce(tp, 0) /
+(5 * coalesce(tp, 0) + coalesce(nt, 0) - coalesce(tp, 0) + 4 * (coalesce(n, 0) - coalesce(tp, 0))) END), 6) AS macro_f05
+FROM n LEFT JOIN m USING (margin, penalty, threshold, i1) LEFT JOIN k USING (i1) GROUP BY 1, 2, 3""")
 def rule_tuning(spark, sf):
     n = R.table(spark, sf, "supplier").count()
-    return decide.tune(R.scored_edges(spark, sf), _truth(spark, sf), n, (0.0, 0.1), (1.0, 0.9), _GRID)
+    rows = decide.tune(R.scored_edges(spark, sf), _truth(spark, sf), n)
+    return rows.select("margin", "penalty", "threshold", _r("macro_f05", "macro_f05"))
 
 
 # Fellegi-Sunter and scorers.
@@ -773,14 +819,15 @@ _LEVEL_SQL = f"""{_TRUTH}, lv AS (SELECT l_suppkey AS i1, l_orderkey AS i23, l_l
 CASE WHEN l_tax = 0 THEN 0 WHEN l_linestatus = 'F' THEN 2 ELSE 1 END AS flag, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)"""
 
 
-def _level_rows(spark, sf):
-    lines = R.table(spark, sf, "lineitem")
+def _level_rows(spark, sf, lines: DataFrame | None = None, *kept: str):
+    lines = R.table(spark, sf, "lineitem") if lines is None else lines
     status = F.when(F.col("l_tax") == 0, -1.0).when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)
     return lines.select(
         em.banded(F.col("l_extendedprice"), (20000, 40000, 70000)).alias("price"),
         em.banded(F.col("l_quantity"), (20, 40)).alias("quantity"),
         em.agreed(status).alias("flag"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
+        *kept,
     )
 
 
@@ -808,11 +855,37 @@ def weights_supervised(spark, sf):
     return every
 
 
-@_query()
+def _em_sql() -> str:
+    """Expectation maximisation as a recursive query: one row of probabilities a round."""
+
+    def lists(weight: str, size: str) -> str:
+        def share(field: str, level: int, levels: int) -> str:
+            return f"least(greatest((coalesce(sum({weight}) FILTER ({field} = {level}), 0) + 1) / (sum({weight}) + {levels}), 1e-4), 1 - 1e-4)"
+
+        return ", ".join(f"[{', '.join(share(f, k, n) for k in range(n))}] AS {size}_{f}" for f, n in _LEVELS.items())
+
+    fields = list(_LEVELS)
+    one = "ln(prior) + " + " + ".join(f"ln(m_{f}[{f} + 1])" for f in fields)
+    two = "ln(1 - prior) + " + " + ".join(f"ln(u_{f}[{f} + 1])" for f in fields)
+    weights = ", ".join(f"log2(m_{f}[{f} + 1] / u_{f}[{f} + 1]) AS w_{f}" for f in fields)
+    total = " + ".join(f"w_{f}" for f in fields)
+    return f"""WITH RECURSIVE {_LEVEL_SQL}, t AS (SELECT {", ".join(fields)}, count(*) AS n FROM lv GROUP BY ALL),
+st AS (SELECT 0 AS r, least(greatest(avg(CAST(y AS DOUBLE)), 1e-4), 0.9) AS prior, {lists("y", "m")}, {lists("1 - y", "u")}, NULL::DOUBLE AS ll, FALSE AS done FROM lv
+UNION ALL SELECT r + 1, least(greatest(sum(w) / sum(n), 1e-4), 0.9), {lists("w", "m")}, {lists("n - w", "u")}, sum(both_ * n) / sum(n),
+coalesce(abs(sum(both_ * n) / sum(n) - ll) < 1e-6, FALSE)
+FROM (SELECT *, exp(one - both_) * n AS w FROM (SELECT *, greatest(one, two) + ln(1 + exp(-abs(one - two))) AS both_
+FROM (SELECT r, ll, {", ".join(fields)}, n, {one} AS one, {two} AS two FROM st, t WHERE NOT done AND r < 25))) GROUP BY r, ll),
+last AS (SELECT * FROM st ORDER BY r DESC LIMIT 1), w AS (SELECT {", ".join(fields)}, n, prior, {weights} FROM t, last)
+SELECT {", ".join(fields)}, n, {", ".join(f"round(w_{f}, 5) AS w_{f}" for f in fields)}, round({total}, 5) AS weight,
+round(1 / (1 + exp(-least(greatest(({total}) * ln(2) + ln(prior / (1 - prior)), -40), 40))), 5) AS posterior FROM w"""
+
+
+@_query(_em_sql())
 def weights_em(spark, sf):
     rows = _level_rows(spark, sf)
     fitted = em.fit(rows, _LEVELS, em.supervised(rows, _LEVELS))
-    return fitted.scored(em.counted(rows, list(_LEVELS)))
+    measures = [*[f"w_{f}" for f in _LEVELS], "weight", "posterior"]
+    return fitted.scored(em.counted(rows, list(_LEVELS))).select(*_LEVELS, "n", *[F.round(c, 5).alias(c) for c in measures])
 
 
 def _feature_rows(spark, sf):
@@ -832,7 +905,7 @@ def blocking_scorer(spark, sf):
 @_query()
 def out_of_fold_scores(spark, sf):
     rows = _feature_rows(spark, sf)
-    return models.out_of_fold(rows, "i1", lambda kept: models.scorer(kept, _FEATURES, iterations=20)).select("i1", "i23", "y", "p_oof")
+    return models.out_of_fold(rows, "i1", lambda kept: models.scorer(kept, _FEATURES)).select("i1", "i23", "y", "p_oof")
 
 
 @_query()
@@ -858,16 +931,20 @@ def _enriched_parts(spark, sf) -> DataFrame:
     rows = R.table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("cty"), F.col("p_name").alias("business_name"), F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("main street")).alias("business_address")
     )
-    # every step joins the records with statistics of themselves: cut the lineage, or plans grow exponentially
-    parsed = graph.cut(parse.parse_records(rows))
-    for words, out in (("core", "core_idf"), ("a_toks", "a_idf")):
-        parsed = graph.cut(enrich.with_idf(parsed, "id", words, enrich.idf_table(parsed, words), out))
-    parsed = graph.cut(enrich.with_region(parsed, "id", "segs", enrich.region_vocabulary(parsed, "segs")))
-    parsed = parsed.withColumn("anchor", enrich.anchor(F.col("house"), F.col("street")))
+    parsed = parse.parse_records(rows).withColumn("anchor", enrich.anchor(F.col("house"), F.col("street")))
+    # all statistics are of the same records and join them once: one cut before, one after
+    parsed = graph.cut(parsed)
+    found = [
+        enrich.with_idf(parsed, "id", words, enrich.idf_table(parsed, words), out).select("id", out) for words, out in (("core", "core_idf"), ("a_toks", "a_idf"))
+    ]
+    found.append(enrich.with_region(parsed, "id", "segs", enrich.region_vocabulary(parsed, "segs")).select("id", "region", "loc"))
     for value, kind in (("k_sorted", "core"), ("anchor", "addr")):
-        for side in ("s1", "s23"):
-            parsed = graph.cut(enrich.with_frequency(parsed, parsed, value, f"f_{kind}_{side}"))
-    return parsed
+        one = enrich.with_frequency(parsed, parsed, value, "f")
+        columns = [F.col(c).alias(f"f_{kind}_{side}{c[1:]}") for side in ("s1", "s23") for c in ("f", "f_r")]
+        found.append(one.select("id", *columns))
+    for one in found:
+        parsed = parsed.join(one, "id")
+    return graph.cut(parsed)
 
 
 @_query()

@@ -45,6 +45,17 @@ def id_pairs(lists: DataFrame, key: str, ids: str, left: str = "s1_id", right: s
     return lists.select(F.col(key).alias(left), F.explode(F.split(ids, ",")).alias(right)).where(F.col(right) != "")
 
 
+def read_results(spark: SparkSession, folder: str, key: str = "source1_entity_id", ids: str = "matched_entity_ids") -> DataFrame:
+    """(s1_id, s23_id) pairs of a folder of id lists as ``sinks.write_tsv`` leaves it."""
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(ids, T.StringType())])
+    return id_pairs(read_tsv(spark, folder, schema), key, ids)
+
+
+def read_ids(spark: SparkSession, path: str, key: str = "entity_id") -> DataFrame:
+    """The distinct ids in the first column of a tab-separated file, as ``id``."""
+    return read_tsv(spark, path, T.StructType([T.StructField(key, T.StringType())])).select(F.col(key).alias("id")).where("id <> ''").distinct()
+
+
 def smoke_sample(records: DataFrame, truth: DataFrame, key: str = "entity_id", parts: int = 40, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(one of ``parts`` of the reference records by hash, the truth pairs of those): a sampling operator."""
     kept = records.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(parts)) == 0)

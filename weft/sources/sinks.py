@@ -33,3 +33,11 @@ def memoised(spark: SparkSession, path: str, make: Callable[[], DataFrame], refr
 def without(pairs: DataFrame, emptied: DataFrame, key: str) -> DataFrame:
     """A probe result: the lists of the entities in ``emptied`` go."""
     return pairs.join(emptied.select(key), key, "left_anti")
+
+
+def append_ledger(spark: SparkSession, path: str, entries: dict[str, float], step: str) -> DataFrame:
+    """Add (step, measure, value) rows to the ledger at ``path``; returns all of it. A step that is written again replaces its rows when read."""
+    rows = spark.createDataFrame([(step, k, float(v)) for k, v in entries.items()], "step string, measure string, value double")
+    rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+    every = spark.read.schema("step string, measure string, value double, at timestamp").parquet(path)
+    return every.groupBy("step", "measure").agg(F.max_by("value", "at").alias("value"))

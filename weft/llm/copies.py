@@ -40,6 +40,8 @@ RADIUS = 6
 SEED = 42
 #: Shares of the nodes that are pivots, in 1/256, of the rounds after the first; the last one holds all.
 SHARES = (16, 256)
+#: Keys that a task makes.
+TASK_KEYS = 1_000_000
 #: Nodes of compared pairs up to which their numbers are broadcast (8 bytes each).
 BROADCAST = 1_000_000
 
@@ -70,7 +72,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, node, n, fp, own) of every row; ``th`` is the hash of its text, ``fp`` its SimHash, ``own`` its shingle set."""
+    """(id, th, node, n, fp, own, row) of every row; ``th`` is the hash of its text, ``fp`` its SimHash, ``own`` its shingle set, ``row`` a number."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -78,10 +80,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [words(t.as_py()) for t in batch.column(2)]
-            sets = [shingles_of(w) for w in split]
+            sets, fps = [], np.empty(batch.num_rows, np.uint64)
+            for i, t in enumerate(batch.column(2)):
+                tokens = words(t.as_py())
+                fps[i] = simhash.word_fingerprint(tokens)
+                sets.append(shingles_of(tokens))
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
-            fps = np.fromiter((simhash.word_fingerprint(w) for w in split), np.uint64, len(split))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
@@ -90,16 +94,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names=["id", "th", "node", "n", "fp", "own"],
             )
 
-    return rows.mapInArrow(run, f"id {kind}, th bigint, node bigint, n int, fp bigint, own binary")
+    found = rows.mapInArrow(run, f"id {kind}, th bigint, node bigint, n int, fp bigint, own binary")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets are at least LEAST similar; only the sets of their nodes are shuffled."""
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    if nodes.count() <= BROADCAST:
+    few = nodes.count() <= BROADCAST
+    if few:
         nodes = F.broadcast(nodes)
-    # all rows of a node have the same set
-    sets = rows.select("node", "own").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("own").alias("own"))
+    # all rows of a node have the same set, so one of them is read; sets are never sorted
+    picked = rows.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row")
+    sets = rows.select("row", "node", "own").join(F.broadcast(picked) if few else picked, "row", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +126,9 @@ def components(rows: DataFrame, work: Workspace) -> DataFrame:
     spark = rows.sparkSession
     # word counts may differ in case of equal shingle sets, so the smallest value stands for a node
     every = work.save(rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp")), "nodes")
-    met = every.select("node", F.explode(simhash.covered(F.col("fp"), RADIUS)).alias("key"))
+    # the table is small, its keys are not: tasks by the number of keys
+    tasks = max(1, -(-every.count() * len(simhash.masks(simhash.BITS, RADIUS)) // TASK_KEYS))
+    met = every.select("node", "fp").repartition(tasks).select("node", F.explode(simhash.covered(F.col("fp"), RADIUS)).alias("key"))
     shared = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = work.save(met.join(shared.select("key"), "key", "left_semi").join(every, "node"), "buckets")
     links = spark.createDataFrame([], "u long, v long")

@@ -300,7 +300,7 @@ def first_norm(spark, sf):
 
 @_query(f"""WITH {C._NAME_PAIRS}, w AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM pairs)
 SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(x || y)), 6) AS addr_jacc, -1.0::DOUBLE AS num_jacc, round(jaro_winkler_similarity(a, b), 5) AS name_jw,
-length(a) AS len_a, length(b) AS len_b FROM w""")
+CAST(length(a) AS INTEGER) AS len_a, CAST(length(b) AS INTEGER) AS len_b FROM w""")
 def first_features(spark, sf):
     pairs = C._name_pairs(spark, sf)
     rows = S.first_features(pairs, "a", "b", "a", "b")

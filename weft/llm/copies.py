@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.llm import simhash
-from weft.llm.common import Workspace, bounded_batches, connected_components
+from weft.llm.common import Workspace, batches_of, bounded_batches, connected_components
 
 WORDS = 5
 LEAST = 0.8
@@ -40,6 +40,8 @@ RADIUS = 6
 SEED = 42
 #: Shares of the nodes that are pivots, in 1/256, of the rounds after the first; the last one holds all.
 SHARES = (16, 256)
+#: Pairs of whole sets in one Arrow batch.
+PAIR_ROWS = 50
 #: Keys that a task makes.
 TASK_KEYS = 1_000_000
 #: Nodes of compared pairs up to which their numbers are broadcast (8 bytes each).
@@ -93,6 +95,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ],
                 names=["id", "th", "node", "n", "fp", "own"],
             )
+            pa.default_memory_pool().release_unused()
 
     found = rows.mapInArrow(run, f"id {kind}, th bigint, node bigint, n int, fp bigint, own binary")
     return found.withColumn("row", F.monotonically_increasing_id())
@@ -152,7 +155,8 @@ def components(rows: DataFrame, work: Workspace) -> DataFrame:
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(work.save(alike(pairs, rows), f"links{step}"))
+        with batches_of(spark, PAIR_ROWS):
+            links = links.unionByName(work.save(alike(pairs, rows), f"links{step}"))
         roots = connected_components(links, work, f"cc{step}_")
     return roots
 

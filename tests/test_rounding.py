@@ -19,7 +19,7 @@ def test_halves(spark):
     assert list(map(str, found)) == list(map(str, want))
 
 
-@pytest.mark.parametrize("name", ["expected_f_select", "prefix_values"])
+@pytest.mark.parametrize("name", ["expected_f_select", "prefix_values", "policy_features"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{DIR}/orders.parquet'")

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 
 from weft.llm import copies, simhash
 
@@ -79,3 +80,42 @@ def test_most_near_copies_of_the_documents_are_within_the_radius(spark):
     near = [(a, b) for a, b in pairs if 0.8 <= copies.jaccard(sets[a][0], sets[b][0]) < 1]
     found = [(a, b) for a, b in near if (sets[a][1] ^ sets[b][1]).bit_count() <= copies.RADIUS]
     assert len(near) > 20 and len(found) >= 0.9 * len(near), (len(found), len(near))
+
+
+def test_buckets_of_unlike_values_stay_small():
+    """No covering mask of the stage is of a few bits: one of a single bit put half of all nodes in one bucket."""
+    masks = simhash.masks(simhash.BITS, copies.RADIUS)
+    assert len(set(masks)) == (1 << copies.RADIUS + 1) - 1
+    assert min(m.bit_count() for m in masks) >= simhash.BITS // 2
+
+
+def test_masks_cover_every_difference_of_six_bits():
+    rng = random.Random(8)
+    masks = simhash.masks(simhash.BITS, copies.RADIUS)
+    for _ in range(20_000):
+        apart = sum(1 << b for b in rng.sample(range(simhash.BITS), copies.RADIUS))
+        assert any(not m & apart for m in masks)
+
+
+def test_sketches_lose_no_alike_pair(spark):
+    rng = np.random.default_rng(3)
+    rows, pairs = [], []
+    for n in (1, 4, 5, 8, 9, 63, 64, 65, 120, 128, 129, 500, 1030, 90_000):
+        for away in (0, n // 9, n // 9 + 1, n // 5, n // 2, n):
+            for more in (0, n // 8, n // 4):
+                a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+                b = np.unique(np.concatenate([a[away:], rng.integers(0, 1 << 64, max(1 if away == n else 0, more), np.uint64)]))
+                for s in (a, b):
+                    rows.append((len(rows), len(rows), len(s), copies.sketch(s).tolist(), bytearray(s.tobytes())))
+                pairs.append((len(rows) - 2, len(rows) - 1, copies.jaccard(a, b) >= copies.LEAST))
+    # pairs that meet are within a quarter in size
+    size = {r[0]: r[2] for r in rows}
+    pairs = [p for p in pairs if min(size[p[0]], size[p[1]]) >= copies.LEAST * max(size[p[0]], size[p[1]])]
+    table = spark.createDataFrame(rows, "row long, node long, n int, sketch array<long>, own binary")
+    asked = spark.createDataFrame([p[:2] for p in pairs], "u long, v long")
+    found = {(r.u, r.v) for r in copies.perhaps_alike(asked, table).collect()}
+    want = {p[:2] for p in pairs if p[2]}
+    assert want <= found and len(want) > 60
+    assert {(r.u, r.v) for r in copies.alike(asked, table).collect()} == want
+    # unlike sets of some size go
+    assert all(copies.jaccard(*(np.frombuffer(bytes(rows[i][4]), np.uint64) for i in p)) > 0.5 for p in found if size[p[0]] >= 64 and size[p[0]] < 5000)

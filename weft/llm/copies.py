@@ -8,6 +8,12 @@ radius shares a key, with certainty. What meets and is within the radius is
 compared exactly, on the whole sets, so nothing below 0.8 is linked. A group
 is a connected component of the links.
 
+Sets are read only for pairs that may be alike by their parity sketches: a
+sketch has a bit for each remainder of a hash, turned by every shingle with
+that remainder, so two sketches differ in at most as many bits as the sets
+differ in shingles, which at a similarity of 0.8 is a ninth of both sizes. No
+pair that is alike goes by that.
+
 Pairs of a bucket are not enumerated at once. A round compares its nodes with a
 few pivots: first the smallest node, then the nodes of a growing ``SHARES`` of
 all, in the end every node; pairs whose nodes are in one component by then need
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +48,8 @@ SEED = 42
 SHARES = (16, 256)
 #: Pairs of whole sets in one Arrow batch.
 PAIR_ROWS = 50
+#: Most bits of a sketch; it has as many as its set has shingles, to the next power of two.
+SKETCH_BITS = 1 << 16
 #: Keys that a task makes.
 TASK_KEYS = 1_000_000
 #: Nodes of compared pairs up to which their numbers are broadcast (8 bytes each).
@@ -73,8 +81,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of a set's hashes with each remainder by the sketch's bits, as 64-bit words."""
+    bits = min(SKETCH_BITS, max(64, 1 << (len(own) - 1).bit_length()))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, node, n, fp, own, row) of every row; ``th`` is the hash of its text, ``fp`` its SimHash, ``own`` its shingle set, ``row`` a number."""
+    """(id, th, node, n, fp, sketch, own, row) of every row; ``th`` is the hash of its text, ``fp`` its SimHash, ``own`` its shingle set, ``row`` a number."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -87,29 +102,54 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 tokens = words(t.as_py())
                 fps[i] = simhash.word_fingerprint(tokens)
                 sets.append(shingles_of(tokens))
+            sketches = [sketch(s) for s in sets]
+            ends = np.cumsum([0, *map(len, sketches)], dtype=np.int32)
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array(fps.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sketches]))),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                names=["id", "th", "node", "n", "fp", "own"],
+                names=["id", "th", "node", "n", "fp", "sketch", "own"],
             )
             pa.default_memory_pool().release_unused()
 
-    found = rows.mapInArrow(run, f"id {kind}, th bigint, node bigint, n int, fp bigint, own binary")
+    found = rows.mapInArrow(run, f"id {kind}, th bigint, node bigint, n int, fp bigint, sketch array<bigint>, own binary")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
-def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are at least LEAST similar; only the sets of their nodes are shuffled."""
+def _joined(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(u, v, and each column of u's and of v's rows, as x_u and x_v); only those of the pairs' nodes are shuffled."""
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     few = nodes.count() <= BROADCAST
     if few:
         nodes = F.broadcast(nodes)
     # all rows of a node have the same set, so one of them is read; sets are never sorted
     picked = rows.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row")
-    sets = rows.select("row", "node", "own").join(F.broadcast(picked) if few else picked, "row", "left_semi")
+    found = rows.select("row", "node", *columns).join(F.broadcast(picked) if few else picked, "row", "left_semi")
+    u, v = (found.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]) for c in "uv")
+    return pairs.select("u", "v").join(u, "u").join(v, "v")
+
+
+def perhaps_alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (u, v) without those whose sketches differ in more bits than sets LEAST similar differ in shingles."""
+    joined = _joined(pairs, rows, ["n", "sketch"])
+
+    def halved(words: Column) -> Column:
+        half = (F.size(words) / 2).cast("int")
+        return F.zip_with(F.slice(words, F.lit(1), half), F.slice(words, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+    # sizes of alike sets differ by a quarter at most, so one sketch is at most twice as long
+    a, b = F.col("sketch_u"), F.col("sketch_v")
+    a, b = F.when(F.size(a) > F.size(b), halved(a)).otherwise(a), F.when(F.size(b) > F.size(a), halved(b)).otherwise(b)
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # numbers of bits are whole, so half a bit more lets the rounded product through
+    return joined.where(apart <= (1 - LEAST) / (1 + LEAST) * (F.col("n_u") + F.col("n_v")) + 0.5).select("u", "v")
+
+
+def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are at least LEAST similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,8 +160,7 @@ def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             ]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    u, v = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "uv")
-    return pairs.select("u", "v").join(u, "u").join(v, "v").select("u", "v", "own_u", "own_v").mapInArrow(run, "u bigint, v bigint")
+    return _joined(pairs, rows, ["own"]).select("u", "v", "own_u", "own_v").mapInArrow(run, "u bigint, v bigint")
 
 
 def components(rows: DataFrame, work: Workspace) -> DataFrame:
@@ -155,8 +194,11 @@ def components(rows: DataFrame, work: Workspace) -> DataFrame:
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
+        near = work.save(perhaps_alike(pairs, rows), f"near{step}")
+        if near.isEmpty():
+            continue
         with batches_of(spark, PAIR_ROWS):
-            links = links.unionByName(work.save(alike(pairs, rows), f"links{step}"))
+            links = links.unionByName(work.save(alike(near, rows), f"links{step}"))
         roots = connected_components(links, work, f"cc{step}_")
     return roots
 

@@ -48,8 +48,10 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 def masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
     """The covering family's masks, as unsigned integers."""
-    vectors = (1 << (radius + 1)) - 1
-    own = [1 + i % vectors for i in range(bits)]
+    vectors, half = (1 << (radius + 1)) - 1, 1 << radius
+    # with fewer bits than vectors those with the first coordinate set: no v but that one is orthogonal to over half of them,
+    # so no mask is of a few bits, which would put large shares of all values in one bucket
+    own = [1 + i % vectors if bits >= vectors else half + i % half for i in range(bits)]
     return [sum(1 << i for i in range(bits) if (own[i] & v).bit_count() & 1) for v in range(1, vectors + 1)]
 
 

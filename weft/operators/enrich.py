@@ -28,9 +28,10 @@ def with_idf(records: DataFrame, key: str, words: str, idf: DataFrame, out: str,
 def region_vocabulary(records: DataFrame, segments: str, label: str = "cty", least_share: float = 5e-4, spaces: int = 3) -> DataFrame:
     """(label, segment): last segments of enough records of the label, of at most ``spaces`` spaces."""
     totals = records.groupBy(label).agg(F.count("*").alias("n"))
+    # conditions on the last segment may be evaluated before that on the size, so it is null without segments, not an error
     last = (
         records.where(F.size(segments) > 0)
-        .groupBy(label, F.element_at(segments, -1).alias("segment"))
+        .groupBy(label, F.try_element_at(F.col(segments), F.lit(-1)).alias("segment"))
         .agg(F.count("*").alias("k"))
     )
     few = F.length("segment") - F.length(F.replace(F.col("segment"), F.lit(" "), F.lit("")))

@@ -85,10 +85,16 @@ def density_sample(spark, sf):
 # Lists and policies.
 
 
+def _listed(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of entities with a key and at least one edge that can be listed, as in the SQL."""
+    return rows.join(edges.where("p >= 0").select("i1").distinct(), "i1", "left_semi")
+
+
 @_query(f"""WITH RECURSIVE {C._prefix_sql(0.0, 8)}, z AS (SELECT i1, 0 AS k, exp(coalesce(list_sum(list_transform(ps, lambda q: ln(1 - least(q, 1 - 1e-9)))), 0) - (total - list_sum(ps))) AS v FROM l)
 SELECT i1, CAST(k AS INTEGER) AS k, round(v, 6) AS ef FROM (SELECT * FROM v UNION ALL SELECT * FROM z)""")
 def prefix_values(spark, sf):
-    return decide.prefix_values(C._order_edges(spark, sf)).select("i1", "k", _r("ef", "ef"))
+    edges = C._order_edges(spark, sf)
+    return _listed(decide.prefix_values(edges), edges).select("i1", "k", R.rounded(F.col("ef")).alias("ef"))
 
 
 @_query(f"""WITH RECURSIVE {C._prefix_sql(0.0, 8)}, z AS (SELECT i1, 0 AS k, exp(coalesce(list_sum(list_transform(ps, lambda q: ln(1 - least(q, 1 - 1e-9)))), 0) - (total - list_sum(ps))) AS v FROM l),

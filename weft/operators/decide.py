@@ -268,7 +268,7 @@ def policy_features(
     """(left, the features of POLICY) of every list length; ``known``: (left, p_null, unc_mean, ...), 0 where absent."""
     values = prefix_values(edges, 0.0, most, missed, left, right, p)
     best = values.groupBy(left).agg(F.max("ef").alias("__best"), F.max_by("k", F.struct("ef", -F.col("k"))).alias("ef_best_k"))
-    ranked = top(edges, [left], [F.desc(p), F.col(right)], most)
+    ranked = top(edges.where(F.col(p) >= 0), [left], [F.desc(p), F.col(right)], most)
     lists = ranked.groupBy(left).agg(F.sort_array(F.collect_list(p), asc=False).alias("ps"))  # at most `most`
     sums = edges.groupBy(left).agg(F.sum(p).alias("__total"))
     rows = values.join(best, left).join(lists, left).join(sums, left)

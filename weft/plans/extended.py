@@ -103,8 +103,9 @@ SELECT i1, CAST(k AS INTEGER) AS k, round(v, 5) AS ef_k, round(best - v, 5) AS e
 round(coalesce(list_sum(ps[1:k]), 0), 6) AS cum_p, round(total - list_sum(ps), 6) AS rest_p, CAST(len(list_filter(ps, lambda x: x > 0)) AS INTEGER) AS n_items,
 ps[1] AS p1, coalesce(ps[2], 0) AS p2, round(ps[1] - coalesce(ps[2], 0), 6) AS gap12 FROM a JOIN m USING (i1) JOIN l USING (i1)""")
 def policy_features(spark, sf):
-    rows = decide.policy_features(C._order_edges(spark, sf))
-    rounded = [F.round(c, 5).alias(c) for c in ("ef_k", "ef_gap")] + [_r(c, c) for c in ("cum_p", "rest_p", "gap12")]
+    edges = C._order_edges(spark, sf)
+    rows = _listed(decide.policy_features(edges), edges)
+    rounded = [R.rounded(F.col(c), 5).alias(c) for c in ("ef_k", "ef_gap")] + [R.rounded(F.col(c)).alias(c) for c in ("cum_p", "rest_p", "gap12")]
     return rows.select("i1", "k", *rounded, "p_k", "p_next", "n_items", "p1", "p2")
 
 

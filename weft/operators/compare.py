@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import similarity as S
+from weft.operators.graph import saved
 
 #: Fields of a parsed and enriched record that a comparison reads.
 NEEDED = (
@@ -15,6 +16,9 @@ NEEDED = (
     "f_core_s1_r", "f_core_s23_r", "f_addr_s1_r", "f_addr_s23_r",
 )
 
+#: Members of a class in one row, about, at most.
+CLASS_ROWS = 10_000
+
 
 def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
@@ -38,7 +42,33 @@ def compare(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str =
     """
     a = left.select(left_id, F.struct(*NEEDED).alias("a"))
     b = right.select(right_id, F.struct(*NEEDED).alias("b"))
-    joined = pairs.join(a, left_id).join(b, right_id)
+    return compared(pairs.join(a, left_id).join(b, right_id))
+
+
+def compare_groups(records: DataFrame, key: str, by: list[str], left_id: str = "i1", right_id: str = "i23") -> DataFrame:
+    """All pairs (left_id < right_id) of records that agree in ``by``, with the features of ``compare``.
+
+    Records of a group with equal fields are one class. Features are made once
+    for two classes, and their members' pairs are listed from that row on the
+    way out, so nothing that grows with the pairs is shuffled or stored.
+    """
+    fields = records.select(*by, key, F.struct(*NEEDED).alias("__f"))
+    sizes = records.groupBy(*by).agg(F.count("*").alias("__n")).where("__n > 1")
+    part = F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / CLASS_ROWS)).alias("__part")
+    classes = saved(fields.join(sizes, by).groupBy(*by, "__f", part).agg(F.array_sort(F.collect_list(key)).alias("__ids")))
+    # the classes are few, their pairs are not: tasks are not merged by the size of what they read
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (classes.select(*by, F.col("__f").alias(c), F.col("__ids").alias(f"__{c}")).repartition(tasks, *by) for c in "ab")
+    met = a.join(b.hint("merge"), by).where(F.get("__a", F.lit(0)) < F.try_element_at("__b", F.lit(-1))).drop(*by)
+    rows = compared(met)
+    features = [c for c in rows.columns if c not in ("__a", "__b")]
+    rows = rows.select("*", F.explode("__a").alias(left_id)).drop("__a")
+    later = F.filter("__b", lambda x: x > F.col(left_id))
+    return rows.select("*", F.explode(later).alias(right_id)).select(right_id, left_id, *features)
+
+
+def compared(joined: DataFrame) -> DataFrame:
+    """The rows with the features of their records ``a`` and ``b``, structs of the fields in ``NEEDED``, in place of these."""
 
     def both(field: str) -> tuple[Column, Column]:
         return F.col("a")[field], F.col("b")[field]

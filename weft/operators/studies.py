@@ -99,6 +99,16 @@ def leave_one_out(rows: DataFrame, groups: list[str], label: str, fit: Callable,
     return report
 
 
+def leave_one_out_together(rows: DataFrame, groups: list, label: str, fit: Callable, measure: Callable) -> DataFrame:
+    """The report of ``leave_one_out`` by models that are fitted together and measured at once.
+
+    ``fit``: (rows, groups) -> (rows, out) -> rows; ``measure``: rows -> one row for each of their labels.
+    """
+    scored = fit(rows, groups)(rows.where(F.col(label).isin(groups)), "p_loo")
+    every = rows.sparkSession.createDataFrame([(g,) for g in groups], f"`{label}` {rows.schema[label].dataType.simpleString()}")
+    return every.join(measure(scored), label, "left")
+
+
 def ablation(rows: DataFrame, families: dict[str, list[str]], fit: Callable, measure: Callable) -> DataFrame:
     """(family, ...): ``measure`` of a model without each family of features, and of all; ``fit``: (rows, features) -> scorer."""
     every = [f for family in families.values() for f in family]

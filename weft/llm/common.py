@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +26,28 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: What workers remember between tasks, as functions that empty it.
+_REMEMBERED: list[Callable[[], None]] = []
+
+
+def remembered(clear: Callable[[], None]) -> None:
+    """Let ``forget`` empty what a module keeps for a worker's next task."""
+    _REMEMBERED.append(clear)
+
+
+def forget() -> None:
+    """Give back what this worker remembers for stages that are over; workers serve one stage after the other.
+
+    Emptied tables stay with the C library, so it is asked to hand their pages back.
+    """
+    for clear in _REMEMBERED:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of ``rows`` for the jobs started inside."""

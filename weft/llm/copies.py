@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.llm import simhash
-from weft.llm.common import Workspace, batches_of, bounded_batches, connected_components
+from weft.llm.common import Workspace, batches_of, bounded_batches, connected_components, forget
 
 WORDS = 5
 LEAST = 0.8
@@ -96,6 +96,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sets, fps = [], np.empty(batch.num_rows, np.uint64)
             for i, t in enumerate(batch.column(2)):
@@ -152,6 +153,7 @@ def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets are at least LEAST similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
             keep = [

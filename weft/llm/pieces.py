@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import bounded_batches
+from weft.llm.common import bounded_batches, remembered
 
 MARK = "▁"
 #: Cuts (about 350 bytes each) and neighbour pairs remembered by a worker before it starts anew.
@@ -261,6 +261,9 @@ def codec(path: str) -> Codec:
         return Codec(f.read())
 
 
+remembered(codec.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int> with the end id, decoded string) of every row; ``path`` is on every node."""
     bounded_batches(docs.sparkSession)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import bounded_batches, fold_of
+from weft.llm.common import bounded_batches, fold_of, forget
 from weft.llm.labelled import training_rows
 
 BITS = 18
@@ -142,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     sample, share = training_rows(docs, labels, label, 5, MOST_ROWS, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [indicators(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -164,6 +165,7 @@ def score(
     shared = spark.sparkContext.broadcast(model)  # 2^BITS weights and ratios: 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = shared.value
         for batch in batches:
             scores = [own.score_text(t.as_py() or "") for t in batch.column(1)]
@@ -191,6 +193,7 @@ def keep(docs: DataFrame, model, text_col: str, wanted) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = shared.value
         for batch in batches:
             yield batch.filter(pa.array([wanted(own.score_text(t.as_py() or "")) for t in batch.column(at)], pa.bool_()))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import quality
-from weft.llm.common import bounded_batches
+from weft.llm.common import bounded_batches, forget
 from weft.llm.labelled import training_rows
 
 #: Labelled rows of each class that the lexicon is learned from.
@@ -126,6 +126,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     """(word, toxic, other): in how many documents of each kind, by partial counts of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts = (Counter(), Counter())
 
         def out() -> pa.RecordBatch:
@@ -209,6 +210,7 @@ def train(
     bare = Lexicon(entries, phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             strength, around = [], []
             for t in batch.column("text"):

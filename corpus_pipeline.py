@@ -33,8 +33,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the pieces of what is left, with their places in training sequences."""
-    # workers have served the other stages, so they remember less here than alone
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=120_000)
+    # workers have served the other stages, so they remember less here than alone, and look up less together
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=120_000, size=2_000_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import common, copies, pieces, tokens
+from weft.llm import common, copies, packing, pieces, tokens
 
 
 def test_forget_empties_what_is_remembered():
@@ -41,3 +41,11 @@ def test_later_stage_of_a_worker(spark):
     if not seen:
         pytest.skip("the workers were not used again")
     assert not any(seen)
+
+
+def test_packing_by_small_groups(spark):
+    """The pipeline looks up fewer texts together than the operator alone: the same pieces."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    few, many = (sorted(map(tuple, packing.pieces(docs, path, 2, kept=100, size=n).drop("rank", "task").collect())) for n in (10_000, 9_000_000))
+    assert few == many and few

@@ -36,13 +36,15 @@ def remembered(clear: Callable[[], None]) -> None:
 
 
 def forget() -> None:
-    """Give back what this worker remembers for stages that are over; workers serve one stage after the other.
-
-    Emptied tables stay with the C library, so it is asked to hand their pages back.
-    """
+    """Give back what this worker remembers for stages that are over; workers serve one stage after the other."""
     for clear in _REMEMBERED:
         clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Hand free memory of this worker back to the system: Arrow's pool and the C library keep it otherwise."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

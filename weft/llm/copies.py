@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.llm import simhash
-from weft.llm.common import Workspace, batches_of, bounded_batches, connected_components, forget
+from weft.llm.common import Workspace, batches_of, bounded_batches, connected_components, forget, trim
 
 WORDS = 5
 LEAST = 0.8
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ],
                 names=["id", "th", "node", "n", "fp", "sketch", "own"],
             )
-            pa.default_memory_pool().release_unused()
+            trim()
 
     found = rows.mapInArrow(run, f"id {kind}, th bigint, node bigint, n int, fp bigint, sketch array<bigint>, own binary")
     return found.withColumn("row", F.monotonically_increasing_id())
@@ -161,6 +161,7 @@ def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 for x, y in zip(a, b, strict=True)
             ]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return _joined(pairs, rows, ["own"]).select("u", "v", "own_u", "own_v").mapInArrow(run, "u bigint, v bigint")
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weft.llm import tokens
-from weft.llm.common import Workspace, bounded_batches
+from weft.llm.common import Workspace, bounded_batches, trim
 
 CAPACITY = 1024
 
@@ -113,15 +113,19 @@ def pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     kept: int = tokens.CUTS_KEPT,
+    size: int = tokens.GROUP_BYTES,
 ) -> DataFrame:
-    """Every piece with its task and its rank among that task's pieces of its length; ``kept``: cuts a worker remembers."""
+    """Every piece with its task and its rank among that task's pieces of its length.
+
+    ``kept``: cuts a worker remembers; ``size``: bytes of texts that it looks up together.
+    """
     bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = tokens.ids(path, kept), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for batch in tokens.grouped(batches):
+        for batch in tokens.grouped(batches, size):
             texts = batch.column(1).fill_null("")
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for at, ids in enumerate(encoder.encode(texts)):
@@ -146,6 +150,7 @@ def pieces(
                 ],
                 names=[id_col, "piece", "start", "length", "ids_crc32", "task", "rank"],
             )
+            trim()
 
     own = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = own.schema[0].dataType.simpleString()
@@ -163,12 +168,13 @@ def pack(
     text_col: str = "text",
     work: Workspace | None = None,
     kept: int = tokens.CUTS_KEPT,
+    size: int = tokens.GROUP_BYTES,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id and offset in that sequence."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "packing")
     # written before ranks are used: a task that ran again would commit once
-    found = work.save(pieces(docs, path, end_id, capacity, id_col, text_col, kept), "pieces")
+    found = work.save(pieces(docs, path, end_id, capacity, id_col, text_col, kept, size), "pieces")
     per_task = found.groupBy("task", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = per_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))

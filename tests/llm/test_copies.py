@@ -119,3 +119,28 @@ def test_sketches_lose_no_alike_pair(spark):
     assert {(r.u, r.v) for r in copies.alike(asked, table).collect()} == want
     # unlike sets of some size go
     assert all(copies.jaccard(*(np.frombuffer(bytes(rows[i][4]), np.uint64) for i in p)) > 0.5 for p in found if size[p[0]] >= 64 and size[p[0]] < 5000)
+
+
+def test_pairs_of_a_large_group_are_not_listed(spark, monkeypatch):
+    """Texts within six bits of each other and mostly less alike than 0.8: pairs were written before sketches were compared."""
+    rng = random.Random(11)
+    base, rows = [f"b{i}" for i in range(300)], []
+    for edits in [1] * 10 + [8] * 110:
+        own = list(base)
+        for at in rng.sample(range(300), edits):
+            own[at] = "edit%d" % rng.randrange(10_000)
+        rows.append((len(rows), " ".join(own)))
+    values = [simhash.word_fingerprint(copies.words(t)) for _, t in rows]
+    met = sum((a ^ b).bit_count() <= copies.RADIUS for a, b in combinations(values, 2))
+    written, save = [], copies.Workspace.save
+
+    def counted(work, df, name, *more):
+        out = save(work, df, name, *more)
+        if {"u", "v"} <= set(out.columns) and not name.startswith("cc"):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(copies.Workspace, "save", counted)
+    kept = copies.one_per_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in kept} == brute(rows)[0] and 1 < len(kept) < len(rows)
+    assert met > 1000 and sum(written) < 5 * len(rows), (met, written)

@@ -91,11 +91,15 @@ def word_fingerprint(tokens: list[bytes], most: int = 4) -> int:
 
 def covered(fp: Column, radius: int) -> Column:
     """array<bigint>: a key of each covering table; values within ``radius`` bits have at least one in common."""
-    keys = [F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks(BITS, radius))]
-    return F.array(*keys)
+    return F.array(*keys(fp, radius))
 
 
-def _signed(mask: int) -> int:
+def keys(fp: Column, radius: int) -> list[Column]:
+    """The key of each covering table."""
+    return [F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(as_signed(m)))) for k, m in enumerate(masks(BITS, radius))]
+
+
+def as_signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
@@ -115,7 +119,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links(values: DataFrame) -> DataFrame:
     """Star edges (u, v) joining all distinct values ``fp`` within two bits of each other."""
-    signed = [_signed(m) for m in masks()]
+    signed = [as_signed(m) for m in masks()]
     keys = values.select(
         "fp",
         F.explode(

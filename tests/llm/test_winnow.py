@@ -106,3 +106,11 @@ def test_ids_of_any_type(spark):
     want = {None: "no id here"[:8] + "te", "a": "text of" + "fi", "b": "first text in or" + "and t", "c": "and the last" + "no i"}
     for d, edited in want.items():
         assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest(), d
+
+
+def test_beginnings_are_read_off_the_choices_of_the_whole(spark):
+    """The edited text's windows before and after the edit's begin were all worked off again."""
+    rows = [(t, m) for t in texts() if t and len(t) >= K + W - 1 for m in {K + W - 1, K + W, len(t) // 4, len(t) * 3 // 4, len(t)} if K + W - 1 <= m]
+    df = spark.createDataFrame(rows, "t string, m int")
+    whole, part = winnow._beginning(winnow.packed(F.col("t")), F.col("m")), winnow.packed(F.substring(F.col("t"), F.lit(1), F.col("m")))
+    assert df.where(whole != part).count() == 0 and df.where(whole == part).count() == len(rows) > 40

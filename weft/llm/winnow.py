@@ -78,22 +78,26 @@ def _minimiser(n: int) -> Callable[[Column], Column]:
 def _block(text: Column, first: Column) -> Column:
     """Chosen (packed) hashes of the windows of one block, by position; ``first``: its place in the text."""
 
+    # each step is the body of the one before: what a body returns is copied, and only choices are few
     def of(chars: Column) -> Column:
-        hashes, n = F.zip_with(chars, _from(chars, 1), lambda a, b: F.hash(a, b).cast("long")), 2
-        while n * 2 < K:  # K is a power of two: 4 or 8
-            hashes, n = _let(hashes, _roller(n)), n * 2
-        half = K // 2
-        power = BASE ** (half // 2)
-        packed = _let(
-            hashes,
-            lambda v: F.transform(
+        return rolled(F.zip_with(chars, _from(chars, 1), lambda a, b: F.hash(a, b).cast("long")), 2, chars)
+
+    def rolled(hashes: Column, n: int, chars: Column) -> Column:
+        if n * 2 < K:  # K is a power of two: 4 or 8
+            return _let(hashes, lambda v: rolled(_roller(n)(v), n * 2, chars))
+        power = BASE ** (n // 2)
+
+        def packed_of(v: Column) -> Column:
+            return F.transform(
                 F.slice(v, 1, F.size(v) - (K - 1)),
-                lambda x, i: F.pmod(x * F.lit(power) + F.get(v, i + half), F.lit(PRIME)) * F.lit(_HIGH) - (first + i),
-            ),
-        )
-        least, n = packed, 1
-        while n < WINDOW:
-            least, n = _let(least, _minimiser(n)), n * 2
+                lambda x, i: F.pmod(x * F.lit(power) + F.get(v, i + n), F.lit(PRIME)) * F.lit(_HIGH) - (first + i),
+            )
+
+        return _let(hashes, lambda v: chosen(packed_of(v), 1, chars))
+
+    def chosen(least: Column, n: int, chars: Column) -> Column:
+        if n < WINDOW:
+            return _let(least, lambda v: chosen(_minimiser(n)(v), n * 2, chars))
         windows = F.greatest(F.lit(1), F.size(chars) - (K + WINDOW - 2))
         return F.array_distinct(F.slice(least, 1, windows))
 
@@ -126,11 +130,31 @@ def _hash(choice: Column) -> Column:
     return F.shiftright(choice + F.lit(_HIGH - 1), 32)
 
 
+def _position(choice: Column) -> Column:
+    return F.negate(choice).bitwiseAND(F.lit(_HIGH - 1))
+
+
+def _beginning(choices: Column, n: Column) -> Column:
+    """The choices of the windows within the first ``n`` characters of a text, of all its choices.
+
+    ``n`` is a full window's characters at least. Choices move on with their
+    windows, so these are those up to the choice of the last such window.
+    """
+
+    def up_to(last: Column) -> Column:
+        return F.filter(choices, lambda x: _position(x) <= last)
+
+    def within(x: Column) -> Column:
+        return (_position(x) >= n - (K + WINDOW - 1)) & (_position(x) <= n - K)
+
+    return _let(_position(F.array_min(F.filter(choices, within))), up_to)
+
+
 def unpacked(choices: Column) -> Column:
     """array<struct<hash bigint, position bigint>> of packed integers."""
     return F.transform(
         choices,
-        lambda x: F.struct(_hash(x).alias("hash"), (_hash(x) * F.lit(_HIGH) - x).alias("position")),
+        lambda x: F.struct(_hash(x).alias("hash"), _position(x).alias("position")),
     )
 
 
@@ -170,7 +194,9 @@ def edited_next(
     off alone; rows of one id are split by their texts. Rows that are equal in
     both and more than ``HOT_ROWS`` are worked off as one: all but the last
     have an equal text next.
-    The choices of windows that end before the edit serve both texts.
+    Every text is worked off once: choices of windows that end before the edit,
+    and of the next text's windows within what is put there, serve the edited
+    text too, and only windows across the edit's begin are worked off again.
     """
     work = work or Workspace(docs.sparkSession, "winnow")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -213,37 +239,31 @@ def edited_next(
         )
         moved = moved.select("id", "text", "text_hash", "b", "copy", F.explode(ways).alias("w")).select("*", "w.*").drop("w")
     overlap = K + WINDOW - 2
+    rows = moved.withColumn("print", packed(F.col("text"))).withColumn("next_print", F.lead("print").over(order)).where("copy = 0")
     rows = (
-        moved.withColumn("n", F.char_length("text"))
+        rows.withColumn("n", F.char_length("text"))
         .withColumn("kept", F.col("n") - F.expr("n div 4").cast("int"))
         .withColumn("put", F.substring(F.col("next_text"), F.lit(1), F.expr("n div 4").cast("int")))
         .drop("next_text")
-        .withColumn("apart", F.col("kept") > overlap)
-        .withColumn("ts", F.when(F.col("apart"), F.col("kept") - overlap).otherwise(F.lit(0)))
+        .withColumn("n_put", F.char_length("put"))
+        .withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), "put"))
+        .drop("text", "put")
     )
-    kept_tail = F.substring(F.col("text"), F.col("ts") + 1, F.col("kept") - F.col("ts"))
-    tail = F.substring(F.col("text"), F.col("ts") + 1, F.col("n") - F.col("ts"))
+    # windows on both sides of the edit's begin
+    ts = F.col("kept") - overlap
+    joint_n = overlap + F.least("n_put", F.lit(overlap))
+    joint = F.when(F.col("n_put") > 0, _long(F.substring(F.col("edited"), ts + 1, joint_n), joint_n, ts)).otherwise(_none())
+    moved_on = F.when(
+        F.col("n_put") > overlap, F.transform(_beginning(F.col("next_print"), F.col("n_put")), lambda x: x - F.col("kept"))
+    ).otherwise(_none())
+    edited_print = F.array_distinct(F.concat(_beginning(F.col("print"), F.col("kept")), joint, moved_on))
     rows = (
-        rows.withColumn("head", F.when(F.col("apart"), _long(F.substring(F.col("text"), F.lit(1), F.col("kept")), F.col("kept"), F.lit(0))).otherwise(_none()))
-        .withColumn("old", F.when(F.col("apart"), _long(tail, F.col("n") - F.col("ts"), F.col("ts"))).otherwise(packed(F.col("text"))))
-        .withColumn("new_tail", F.concat(kept_tail, "put"))
-        .withColumn(
-            "new",
-            F.when(
-                F.col("apart"),
-                F.when(F.length("put") > 0, _long(F.col("new_tail"), F.char_length("new_tail"), F.col("ts"))).otherwise(_none()),
-            ).otherwise(packed(F.col("new_tail"))),
-        )
-        .withColumn("edited_sha256", F.sha2(F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), F.col("put")).cast("binary"), 256))
-        .withColumn("print", F.array_distinct(F.concat("head", "old")))
-        .withColumn("edited_print", F.array_distinct(F.concat("head", "new")))
+        rows.withColumn("edited_print", F.when(F.col("kept") > overlap, edited_print).otherwise(packed(F.col("edited"))))
+        .withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
         .withColumn("own", hashes(F.col("print")))
+        .withColumn("next", hashes(F.col("next_print")))
         .select(
             "id",
-            "text_hash",
-            "b",
-            "copy",
-            "again",
             "times",
             "n",
             "edited_sha256",
@@ -251,9 +271,8 @@ def edited_next(
             of_choices(F.col("edited_print")).alias("edited_choices"),
             _let(hashes(F.col("edited_print")), lambda edited: likeness(F.col("own"), edited)).alias("near_edited"),
             "own",
+            "next",
         )
-        .withColumn("next", F.lead("own").over(order))
-        .where("copy = 0")
     )
     if folded:
         rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
